@@ -167,3 +167,24 @@ def filtered(df: DataFrame, needed: list[str], keep: Callable[[pa.RecordBatch],
 
     p = packed(df, *needed)
     return p.mapInArrow(run, p.select("_row").schema).select("_row.*")
+
+
+def vector_rows(total: np.ndarray, slice_size: int = 1 << 14) -> pa.RecordBatch:
+    """A task's flat float64 vector as one row per slice, for ``sum_vectors``."""
+    flat = np.ascontiguousarray(total, dtype=np.float64).ravel()
+    parts = [flat[i : i + slice_size] for i in range(0, len(flat), slice_size)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "data"])
+
+
+def sum_vectors(df: DataFrame, size: int) -> np.ndarray:
+    """Sum of the vectors of all tasks: each slice is added up in a task of its own, the driver gets one vector of ``size``."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total: np.ndarray | None = None
+        for x in table.column("data"):
+            a = np.frombuffer(x.as_buffer(), np.float64)
+            total = a.copy() if total is None else total + a
+        return pa.table({"slice": table.column("slice")[:1], "data": pa.array([total.tobytes()], pa.binary())})
+
+    got = sorted((r["slice"], bytes(r["data"])) for r in df.groupBy("slice").applyInArrow(add, "slice int, data binary").collect())
+    return np.concatenate([np.frombuffer(x, np.float64) for _, x in got]) if got else np.zeros(size)

@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from .common import filtered, id_remainder, slices
 
 SAMPLE_TEXTS = 150
-SAMPLE_CHARS = 900
-PIECE = 16_384
-LEVEL = 3
-MIN_MARGIN = 0.015
+SAMPLE_CHARS = 450
+PIECE = 4096
+LEVEL = 6
+MIN_MARGIN = 0.004
 _LETTER = re.compile(r"[^\W\d_]")
 
 

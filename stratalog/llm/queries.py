@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, warc
+from . import decontaminate, language, packing, topk, toxicity, warc
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     QUERIES[f.__name__] = f
     return f
@@ -31,6 +37,23 @@ def op3_warc(spark, sf):
     return warc.captures(table(spark, sf, "pages"))
 
 
+@query
+def op4_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+    return out.withColumns({"held_out": id_remainder("doc_id", 5) == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
+@query
+def op8_topk(spark, sf):
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op9_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), tokenizer_path())
+
+
 @query
 def op10_decontaminate(spark, sf):
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("spans", "items")
@@ -49,3 +72,9 @@ cov AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(ra
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+ORACLES["op8_topk"] = """WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20"""
