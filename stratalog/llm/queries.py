@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, topk, toxicity, warc
+from . import decontaminate, hmm, language, packing, topk, toxicity, warc
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
@@ -44,6 +44,13 @@ def op4_toxicity(spark, sf):
     return out.withColumns({"held_out": id_remainder("doc_id", 5) == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
+@query
+def op7_hmm(spark, sf):
+    docs = table(spark, sf, "documents")
+    out = hmm.score(docs, *hmm.fit(hmm.training_rows(docs)))
+    return out.withColumn("held_out", id_remainder("doc_id", 7) == 2)
+
+
 @query
 def op8_topk(spark, sf):
     return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
