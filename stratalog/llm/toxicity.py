@@ -26,7 +26,7 @@ BUCKET_BITS = 17
 GRAMS = (3, 4, 5)
 DIMENSIONS = 12
 WINDOW = 12
-SAMPLE = 2500
+SAMPLE = 1500
 EPOCHS = 12
 RATE = 0.5
 
@@ -72,7 +72,21 @@ class Bag:
         self.first = w.first
         w._h = w.hashes()
         _, pick, self.word = np.unique(w._h, return_index=True, return_inverse=True)
-        self.gram, self.at = _grams(w, pick) if len(pick) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        gram, self.at = _grams(w, pick) if len(pick) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        self.gram = gram.astype(np.int32)
+
+    @classmethod
+    def of(cls, texts: list[str], part: int = 1 << 19) -> Bag:
+        """Built in parts of about so many characters, so that what is needed meanwhile stays small; words are distinct in each part."""
+        cut = np.cumsum([len(t) for t in texts]) // part
+        bags = [cls(pa.array([texts[i] for i in np.flatnonzero(cut == k)], pa.large_string())) for k in np.unique(cut)]
+        out = cls.__new__(cls)
+        chain = lambda arrays: np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for a in arrays]))])
+        before = np.cumsum([0, *(len(b.at) - 1 for b in bags)])
+        out.first, out.at = chain([b.first for b in bags]), chain([b.at for b in bags])
+        out.word = np.concatenate([b.word + k for b, k in zip(bags, before, strict=False)])
+        out.gram = np.concatenate([b.gram for b in bags])
+        return out
 
     def word_means(self, value: np.ndarray) -> np.ndarray:
         """Mean over each distinct word's n-grams of a number per bucket."""
@@ -122,7 +136,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
     if not len(texts) or len(set(labels.tolist())) < 2:
         p = float(labels.mean()) if len(labels) else 0.5
         return Model(np.zeros_like(e), w, np.array([0.0, np.log((p + 1e-3) / (1 - p + 1e-3))]))
-    bag = Bag(pa.array(texts, pa.large_string()))
+    bag = Bag.of(texts)
     y = labels.astype(np.int64)
     cost = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     ge, gw, gb = np.full((size, DIMENSIONS), 1e-6, np.float32), np.full(w.shape, 1e-6), np.full(2, 1e-6)
