@@ -7,6 +7,7 @@ Hashes are polynomial over bytes modulo 2^64, taken from prefix sums, and mixed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,12 +42,19 @@ def id_remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.encode(c.cast("string"), "UTF-8")), F.lit(modulus))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder that the session names; tests without one get a folder under the warehouse."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A new path under the shared folder that the session names; tests without one get it under the warehouse."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    return df.checkpoint()
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a table written to the shared folder; lost executors take nothing of it along."""
+    path = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, language, packing, topk, toxicity, warc
+from . import decontaminate, hmm, language, minhash, packing, topk, toxicity, warc
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
@@ -44,6 +44,11 @@ def op4_toxicity(spark, sf):
     return out.withColumns({"held_out": id_remainder("doc_id", 5) == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
+@query
+def op6_minhash(spark, sf):
+    return minhash.classes(table(spark, sf, "documents"))
+
+
 @query
 def op7_hmm(spark, sf):
     docs = table(spark, sf, "documents")

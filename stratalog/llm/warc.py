@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, shared_folder
 
 RECORDS_PER_FILE = 4096
 SALTS = 16
@@ -217,7 +216,6 @@ def captures(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> D
     """Writes the archives, reads them back and merges their indexes."""
     spark = pages.sparkSession
     if path is None:
-        checkpoint(spark.range(0))  # sets the shared folder where it is unset
-        path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/warc-{uuid.uuid4().hex}"
+        path = shared_folder(spark)
     write(pages, path, min_bytes)
     return merge(checkpoint(runs(spark, path)))
