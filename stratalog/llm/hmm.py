@@ -220,7 +220,15 @@ def fit(train: DataFrame) -> tuple[DataFrame, Vocabulary, Hmm]:
     sc = train.sparkSession.sparkContext
     counts = checkpoint(word_counts(train))
     n = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(KNOWN).toPandas()  # KNOWN rows of two numbers
+    # Words above a count such that there are KNOWN at most, by a histogram of counts: tasks send no more than is taken.
+    step = F.floor(F.log2("c") * 32)
+    room, least = KNOWN, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        room -= r["n"]
+        if room < 0:
+            least = r["step"] + 1
+            break
+    top = counts.where(step >= least).toPandas().sort_values(["c", "h"], ascending=[False, True])
     words = Vocabulary(int(n["n"]), int(n["v"]), top["h"].to_numpy(np.int64).view(U64), top["c"].to_numpy(np.int64))
     model = Hmm.guess(words.p0)
     if not words.total:

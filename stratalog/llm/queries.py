@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, language, minhash, packing, topk, toxicity, warc
+from . import decontaminate, hmm, language, lines, minhash, packing, passages, topk, toxicity, warc
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
@@ -32,6 +32,11 @@ def op1_language_id(spark, sf):
     return out.withColumn("held_out", id_remainder("doc_id", 4) == 2)
 
 
+@query
+def op2_line_dedup(spark, sf):
+    return lines.report(table(spark, sf, "documents"))
+
+
 @query
 def op3_warc(spark, sf):
     return warc.captures(table(spark, sf, "pages"))
@@ -44,6 +49,11 @@ def op4_toxicity(spark, sf):
     return out.withColumns({"held_out": id_remainder("doc_id", 5) == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
+@query
+def op5_passages(spark, sf):
+    return passages.passages(table(spark, sf, "documents"))
+
+
 @query
 def op6_minhash(spark, sf):
     return minhash.classes(table(spark, sf, "documents"))
