@@ -18,27 +18,28 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-ROUNDS = 3
+ROUNDS = 2
 FEW = 4
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, label)`` for the nodes of edges ``(a, b)``; the label is the least node. Alternates large and small stars."""
-    e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    """``(node, label)`` for the nodes of edges ``(a, b)``; the label is the least node.
+
+    Every node takes the least label around it, then its label's label, until nothing
+    changes; one table is written a turn.
+    """
+    e = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = checkpoint(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     before = None
     while True:
-        both = e.select("u", "v").union(e.select("v", "u"))
-        low = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
-        big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = checkpoint(big)
-        low = checkpoint(e.groupBy("u").agg(F.min("v").alias("m")))
-        small = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = checkpoint(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        around = e.join(labels, e["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
+        near = around.union(labels).groupBy("node").agg(F.min("label").alias("label"))
+        far = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        labels = checkpoint(near.join(far, "label", "left").select("node", F.coalesce(F.least("further", "label"), F.col("label")).alias("label")))
+        now = labels.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()[0]
         if now == before:
-            break
+            return labels
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select("v", "v").distinct())
 
 
 def verified(pairs: DataFrame, features: DataFrame, alike: Callable[[bytes, bytes], bool]) -> DataFrame:
@@ -61,18 +62,21 @@ def cluster(members: DataFrame, features: Callable[[DataFrame], DataFrame], alik
     ``features``: the ``(node, f)`` of given nodes. ``near``: a cheap condition on the extra columns with prefixes, before features are looked at.
     """
     extra = extra or []
-    counted = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = checkpoint(members.join(checkpoint(counted.select("bucket")), "bucket"))
+    counted = checkpoint(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = checkpoint(members.join(counted, "bucket"))
     nodes = shared.select("node").distinct()
     held: DataFrame | None = None
     labels: DataFrame | None = None
     links: DataFrame | None = None
     for turn in range(ROUNDS + 1):
-        m = shared
+        # A bucket of two was settled by the first turn.
+        m = shared if turn == 0 else shared.where("n > 2")
         if labels is not None:
-            m = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-            m = checkpoint(m.join(checkpoint(mixed), "bucket"))
+            m = m.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            mixed = checkpoint(m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket"))
+            if mixed.isEmpty():
+                break
+            m = checkpoint(m.join(mixed, "bucket"))
         else:
             m = m.withColumn("label", F.col("node"))
         far = F.col("a_label") != F.col("b_label")
@@ -88,8 +92,6 @@ def cluster(members: DataFrame, features: Callable[[DataFrame], DataFrame], alik
         found = a.join(b, "bucket").where(cond).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
         pairs = checkpoint(found.distinct())
         if pairs.isEmpty():
-            if turn < ROUNDS and labels is not None and m.isEmpty():
-                break
             continue
         if held is None:
             held = checkpoint(features(nodes))
