@@ -1,6 +1,7 @@
 """WARC archives written and read back, with an external merge of their capture indexes.
 
-Writing is JVM-side: one text line per record whose line end is the record end.
+Writing is JVM-side: one text line per record whose line end is the record end;
+archives are gzipped, and offsets count unpacked bytes.
 Of records with equal payloads of at least ``min_bytes`` bytes, that with the
 largest id is the response; the others revisit it and carry no payload.
 
@@ -17,6 +18,7 @@ all responses.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -83,7 +85,7 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    records(pages, min_bytes).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records(pages, min_bytes).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def urlkey(url: str) -> str:
@@ -181,10 +183,10 @@ def runs(spark, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                if entries := sorted(parse(b.column(1)[i].as_buffer().to_pybytes(), b.column(0)[i].as_py()), key=_order):
+                if entries := sorted(parse(gzip.decompress(b.column(1)[i].as_buffer()), b.column(0)[i].as_py()), key=_order):
                     yield _batch(entries)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path)
     return files.select(F.regexp_extract("path", r"[^/]+$", 0).alias("archive"), "content").mapInArrow(read, ENTRY)
 
 
