@@ -11,9 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -22,38 +21,68 @@ ROUNDS = 2
 FEW = 4
 
 
+class Forest:
+    """Union-find over the links of one task; its trees stand for the links."""
+
+    def __init__(self) -> None:
+        self.up: dict = {}
+
+    def root(self, x):  # noqa: ANN001, ANN201 - nodes are strings or integers
+        up = self.up
+        top = x
+        while up.setdefault(top, top) != top:
+            top = up[top]
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    def link(self, a, b) -> None:  # noqa: ANN001
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+
+    def edges(self) -> tuple[list, list]:
+        """Every node that is not a root, with its root."""
+        nodes = [x for x, y in self.up.items() if x != y]
+        return [self.root(x) for x in nodes], nodes
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for the nodes of edges ``(a, b)``; the label is the least node.
 
-    Every node takes the least label around it, then its label's label, until nothing
-    changes; one table is written a turn.
+    Every node takes the least label around it, then its label's label, then the least
+    around it again, until that last step changes nothing; one table is written a turn.
     """
-    e = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpoint(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    before = None
+    e = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).union(edges.select("a", F.col("a").alias("b"))).union(edges.select(F.col("b").alias("a"), "b")).distinct())
+    labels = e.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
     while True:
-        around = e.join(labels, e["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
-        near = around.union(labels).groupBy("node").agg(F.min("label").alias("label"))
+        near = e.join(labels, e["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("label"))
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = checkpoint(near.join(far, "label", "left").select("node", F.coalesce(F.least("further", "label"), F.col("label")).alias("label")))
-        now = labels.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()[0]
-        if now == before:
+        jumped = near.join(far, "label", "left").select(F.col("a").alias("node"), F.coalesce(F.least("further", "label"), F.col("label")).alias("label"))
+        own = F.max(F.when(F.col("a") == F.col("b"), F.col("label")))
+        again = e.join(jumped, e["b"] == jumped["node"]).groupBy("a").agg(F.min("label").alias("label"), own.alias("own"))
+        seen = Observation()
+        labels = checkpoint(again.observe(seen, F.count_if(F.col("label") != F.col("own")).alias("n")).select(F.col("a").alias("node"), "label"))
+        if not seen.get["n"]:
             return labels
-        before = now
 
 
 def verified(pairs: DataFrame, features: DataFrame, alike: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """Pairs ``(a, b)`` whose features ``(node, f)`` are alike."""
+    """Links ``(a, b)`` with the components of those pairs whose features ``(node, f)`` are alike: the trees of each task."""
     left, right = features.toDF("a", "fa"), features.toDF("b", "fb")
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "fa", "fb")
+    kinds = [f.dataType.simpleString() for f in pairs.select("a", "b").schema]
+    arrow = pa.int64() if kinds[0] == "bigint" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fa, fb = b.column(2), b.column(3)
-            keep = np.fromiter((alike(fa[i].as_py(), fb[i].as_py()) for i in range(b.num_rows)), bool, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
+        forest = Forest()
+        for batch in batches:
+            fa, fb = batch.column(2), batch.column(3)
+            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if alike(fa[i].as_py(), fb[i].as_py()):
+                    forest.link(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(x, arrow) for x in forest.edges()], names=["a", "b"])
 
-    return joined.mapInArrow(run, pairs.select("a", "b").schema)
+    return joined.mapInArrow(run, f"a {kinds[0]}, b {kinds[1]}")
 
 
 def cluster(members: DataFrame, features: Callable[[DataFrame], DataFrame], alike: Callable[[bytes, bytes], bool], near: Callable[[str, str], F.Column] | None = None, extra: list[str] | None = None) -> DataFrame:
@@ -62,42 +91,36 @@ def cluster(members: DataFrame, features: Callable[[DataFrame], DataFrame], alik
     ``features``: the ``(node, f)`` of given nodes. ``near``: a cheap condition on the extra columns with prefixes, before features are looked at.
     """
     extra = extra or []
-    counted = checkpoint(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = checkpoint(members.join(counted, "bucket"))
-    nodes = shared.select("node").distinct()
     held: DataFrame | None = None
     labels: DataFrame | None = None
     links: DataFrame | None = None
     for turn in range(ROUNDS + 1):
-        # A bucket of two was settled by the first turn.
-        m = shared if turn == 0 else shared.where("n > 2")
-        if labels is not None:
-            m = m.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = checkpoint(m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket"))
-            if mixed.isEmpty():
-                break
-            m = checkpoint(m.join(mixed, "bucket"))
+        if labels is None:
+            m = members.withColumn("label", F.col("node"))
         else:
-            m = m.withColumn("label", F.col("node"))
+            m = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        order = F.xxhash64("node", F.pmod("bucket", F.lit(FEW)) if turn == 0 else F.col("bucket"), F.lit(turn))
+        chosen = m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(order.alias("o"), "node", "label", *extra)).alias("r"))
+        # A bucket of two was settled by the first turn.
+        mixed = chosen.where("lo <> hi" if turn == 0 else "lo <> hi and n > 2")
+        b = checkpoint(mixed.select("bucket", *[F.col(f"r.{c}").alias(f"b_{c}") for c in ("node", "label", *extra)]))
+        if b.isEmpty():
+            break
+        if held is None:
+            held = checkpoint(features(members.join(b.select("bucket"), "bucket").select("node").distinct()))
         far = F.col("a_label") != F.col("b_label")
         cond = far if near is None else far & near("a_", "b_")
-        a = m.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", *extra)])
-        if turn < ROUNDS:
-            order = F.xxhash64("node", F.pmod("bucket", F.lit(FEW)) if turn == 0 else F.col("bucket"), F.lit(turn))
-            chosen = m.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "label", *extra)).alias("r"))
-            b = checkpoint(chosen.select("bucket", *[F.col(f"r.{c}").alias(f"b_{c}") for c in ("node", "label", *extra)]))
-        else:
+        if turn == ROUNDS:
+            m = checkpoint(m.join(b.select("bucket"), "bucket"))
             b = m.select("bucket", *[F.col(c).alias(f"b_{c}") for c in ("node", "label", *extra)])
             cond = cond & (F.col("a_node") < F.col("b_node"))
+        a = m.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", *extra)])
         found = a.join(b, "bucket").where(cond).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-        pairs = checkpoint(found.distinct())
-        if pairs.isEmpty():
+        fresh = checkpoint(verified(found.distinct(), held, alike))
+        if fresh.isEmpty():
             continue
-        if held is None:
-            held = checkpoint(features(nodes))
-        fresh = checkpoint(verified(pairs, held, alike))
         links = fresh if links is None else links.union(fresh)
-        labels = checkpoint(components(links))
+        labels = components(links)
     if labels is None:
         kind = dict(members.dtypes)["node"]
         return members.sparkSession.createDataFrame([], f"node {kind}, label {kind}")
