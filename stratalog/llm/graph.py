@@ -91,9 +91,12 @@ def cluster(members: DataFrame, features: Callable[[DataFrame], DataFrame], alik
     ``features``: the ``(node, f)`` of given nodes. ``near``: a cheap condition on the extra columns with prefixes, before features are looked at.
     """
     extra = extra or []
-    held: DataFrame | None = None
     labels: DataFrame | None = None
     links: DataFrame | None = None
+    # Most buckets hold one node. They go first, by a count alone, so that turns read only what is shared.
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = checkpoint(members.join(shared, "bucket"))
+    held = checkpoint(features(members.select("node").distinct()))
     for turn in range(ROUNDS + 1):
         if labels is None:
             m = members.withColumn("label", F.col("node"))
@@ -106,8 +109,6 @@ def cluster(members: DataFrame, features: Callable[[DataFrame], DataFrame], alik
         b = checkpoint(mixed.select("bucket", *[F.col(f"r.{c}").alias(f"b_{c}") for c in ("node", "label", *extra)]))
         if b.isEmpty():
             break
-        if held is None:
-            held = checkpoint(features(members.join(b.select("bucket"), "bucket").select("node").distinct()))
         far = F.col("a_label") != F.col("b_label")
         cond = far if near is None else far & near("a_", "b_")
         if turn == ROUNDS:
