@@ -96,7 +96,7 @@ def cluster(members: DataFrame, features: Callable[[DataFrame], DataFrame], alik
     # Most buckets hold one node. They go first, by a count alone, so that turns read only what is shared.
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = checkpoint(members.join(shared, "bucket"))
-    held = checkpoint(features(members.select("node").distinct()))
+    held: DataFrame | None = None  # features of the nodes of pairs so far
     for turn in range(ROUNDS + 1):
         if labels is None:
             m = members.withColumn("label", F.col("node"))
@@ -117,7 +117,14 @@ def cluster(members: DataFrame, features: Callable[[DataFrame], DataFrame], alik
             cond = cond & (F.col("a_node") < F.col("b_node"))
         a = m.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", *extra)])
         found = a.join(b, "bucket").where(cond).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-        fresh = checkpoint(verified(found.distinct(), held, alike))
+        pairs = checkpoint(found.distinct())
+        wanted = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
+        if held is not None:
+            wanted = checkpoint(wanted.join(held.select("node"), "node", "left_anti"))
+        if held is None or not wanted.isEmpty():
+            more = checkpoint(features(wanted))
+            held = more if held is None else held.union(more)
+        fresh = checkpoint(verified(pairs, held, alike))
         if fresh.isEmpty():
             continue
         links = fresh if links is None else links.union(fresh)
