@@ -131,6 +131,16 @@ def test_passages(spark, odd, empty):
     assert passages.passages(odd).where("doc_id <> 7 and doc_id <> 6").count() == 0 and passages.passages(empty).count() == 0
 
 
+def test_passages_two_in_one_pair(spark):
+    docs = []
+    for k, (n, m, gap) in enumerate([(100, 100, 300), (60, 60, 100), (30, 60, 80)]):
+        p, q = prose(400 + k, n), prose(410 + k, m)
+        docs += [(10 * k + i, f"{prose(420 + 10 * k + i, 40)} {p} {prose(460 + 10 * k + i, gap)} {q} {prose(490 + 10 * k + i, 40)}") for i in range(2)]
+    got = {(r["doc_id"], r["start_word"]): r["n_words"] for r in passages.passages(spark.createDataFrame(docs, ODD_SCHEMA)).collect()}
+    want = {(d, s) for d in (0, 1) for s in (40, 440)} | {(d, s) for d in (10, 11) for s in (40, 200)} | {(d, 150) for d in (20, 21)}
+    assert set(got) == want and all(n in (60, 100) for n in got.values())
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(12)]
