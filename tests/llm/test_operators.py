@@ -141,6 +141,17 @@ def test_passages_two_in_one_pair(spark):
     assert set(got) == want and all(n in (60, 100) for n in got.values())
 
 
+def test_passages_cut_at_gaps():
+    p, seed, q = prose(500, 55).split(), prose(501, 8).split(), prose(502, 60).split()
+    for gap in (25, 45):
+        x = [*p, *prose(503, gap).split(), *seed, *prose(504, 40).split(), *q]
+        y = [*p, *prose(505, gap).split(), *seed, *prose(506, 40).split(), *q]
+        number = {w: n for n, w in enumerate(set(x + y))}
+        at = [*range(0, 47, 6), 55 + gap, *range(103 + gap, 155 + gap, 6)]
+        found = passages.parts(passages.align(*(np.array([number[w] for w in t], np.uint32) for t in (x, y)), [(a, a) for a in at]))
+        assert [(i, j, n) for i, k, j, m, n in found] == [(0, 0, 55), (103 + gap, 103 + gap, 60)]
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(12)]
