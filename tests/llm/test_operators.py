@@ -152,6 +152,20 @@ def test_passages_cut_at_gaps():
         assert [(i, j, n) for i, k, j, m, n in found] == [(0, 0, 55), (103 + gap, 103 + gap, 60)]
 
 
+def test_passages_extend_over_edits():
+    p = prose(510, 60).split()
+    for edit in ([(9, 1), (49, 1)], [(9, 0), (49, 2)], [(k, 1) for k in range(3, 60, 5) if not 20 <= k < 30]):
+        fuzzy = []
+        for k, one in enumerate(p):
+            kind = dict(edit).get(k)
+            fuzzy += [one] if kind is None else [f"new{k}"] if kind == 1 else [one, f"new{k}"] if kind == 2 else []
+        x, y = [*prose(511, 30).split(), *p, *prose(512, 30).split()], [*prose(513, 45).split(), *fuzzy, *prose(514, 30).split()]
+        number = {w: n for n, w in enumerate(set(x + y))}
+        at = next((30 + a, 45 + b) for a in range(18, 40) for b in range(a - 2, a + 3) if p[a : a + 8] == fuzzy[b : b + 8])
+        ((i, k, j, m, n),) = passages.parts(passages.align(*(np.array([number[w] for w in t], np.uint32) for t in (x, y)), [at]))
+        assert 30 <= i <= 34 and 86 <= k <= 90 and n >= (k - i) - len(edit)
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(12)]
