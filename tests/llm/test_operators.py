@@ -166,6 +166,13 @@ def test_passages_extend_over_edits():
         assert 30 <= i <= 34 and 86 <= k <= 90 and n >= (k - i) - len(edit)
 
 
+def test_passages_null_and_repeated_ids(spark):
+    p, q = prose(520, 70), prose(521, 70)
+    docs = [(None, f"{prose(522, 30)} {p}"), (1, f"{prose(523, 40)} {p}"), (2, f"{prose(524, 50)} {p}"), (3, f"{prose(525, 60)} {q}"), (3, f"{prose(526, 70)} {q}"), (3, prose(527, 200))]
+    got = {(r["doc_id"], r["start_word"], r["n_words"]) for r in passages.passages(spark.createDataFrame(docs, ODD_SCHEMA)).collect()}
+    assert got == {(None, 30, 70), (1, 40, 70), (2, 50, 70), (3, 60, 70), (3, 70, 70)}
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(12)]
