@@ -173,6 +173,22 @@ def test_passages_null_and_repeated_ids(spark):
     assert got == {(None, 30, 70), (1, 40, 70), (2, 50, 70), (3, 60, 70), (3, 70, 70)}
 
 
+def test_passages_whose_seeds_lie_apart(spark):
+    p = prose(530, 60).split()
+    for crowd in (1, 12):  # others that hold one half each, so that every seed has few or many holders
+        docs = [(i, f"{prose(540 + i, 30)} {' '.join(p[:30] if i % 2 else p[30:])} {prose(570 + i, 30)}") for i in range(2 * crowd)]
+        docs += [(100 + i, f"{prose(600 + i, 40)} {' '.join(p)} {prose(610 + i, 40)}") for i in range(2)]
+        got = passages.passages(spark.createDataFrame(docs, ODD_SCHEMA)).collect()
+        assert {(r["doc_id"], r["start_word"], r["n_words"], r["other_id"]) for r in got} == {(100, 40, 60, 101), (101, 40, 60, 100)}
+
+
+def test_passages_name_all_others(spark):
+    p, q = prose(620, 60), prose(621, 60)
+    docs = [(1, f"{p} {prose(622, 40)} {p} {prose(623, 100)} {q}"), (2, f"{prose(624, 30)} {p}"), (3, f"{q} {prose(625, 30)} {p}")]
+    got = {(r["doc_id"], r["start_word"], r["other_id"], r["other_start"]) for r in passages.passages(spark.createDataFrame(docs, ODD_SCHEMA)).collect()}
+    assert got >= {(2, 30, 1, 0), (2, 30, 1, 100), (2, 30, 3, 90), (3, 90, 2, 30), (3, 0, 1, 260), (1, 100, 2, 30), (1, 0, 3, 90)}
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(12)]
