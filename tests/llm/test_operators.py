@@ -215,6 +215,18 @@ def test_near_duplicates(spark, odd, empty):
     assert minhash.first_of_class(odd).columns == odd.columns and minhash.first_of_class(odd).count() == len(ODD) - 1
 
 
+def test_near_duplicates_null_and_repeated_ids(spark):
+    a, b, c = (prose(700 + i, 200).split() for i in range(3))
+    near = " ".join([*a[:100], "new", *a[100:]])
+    docs = [(None, " ".join(a)), (None, near), (None, " ".join(b)), (1, " ".join(c)), (1, prose(710, 200)), (1, " ".join(c)), (2, " ".join(b)), (None, None), (None, ""), (None, ""), (None, "!!!")]
+    rows = spark.createDataFrame(docs, ODD_SCHEMA)
+    got = Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in minhash.classes(rows).collect())
+    assert got == {(None, None, 2): 2, (None, 2, 2): 1, (2, 2, 2): 1, (1, 1, 2): 2, (1, 1, 1): 1, (None, None, 1): 4}
+    kept = Counter((r["doc_id"], r["text"]) for r in minhash.first_of_class(rows).collect())
+    first = [k for k in kept if k in {(None, " ".join(a)), (None, near)}]
+    assert len(first) == 1 and kept - Counter(first) == Counter([(2, " ".join(b)), (1, " ".join(c)), docs[4], *docs[7:]])
+
+
 def test_hmm_likelihood_is_exact():
     model = hmm.Hmm.guess(np.full(6, 1 / 6), states=3)
     symbol = np.array([random.Random(i).randrange(6) for i in range(700)])
