@@ -8,6 +8,7 @@ Hashes are polynomial over bytes modulo 2^64, taken from prefix sums, and mixed.
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +32,10 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 SLICE_BYTES = 2 << 20
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Where the tables of ``checkpoint`` lie, by the identity of their frames.
+_stored: dict[int, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,10 +56,38 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a table written to the shared folder; lost executors take nothing of it along."""
-    path = shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts lineage by a table written to the shared folder; lost executors take nothing of it along.
+
+    Shuffle files of the job that writes it go when it ends, as nothing can read them again.
+    ``discard`` deletes the table; what an operator returns may still read those it keeps.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[id(out)] = path
+    weakref.finalize(out, _stored.pop, id(out), None)
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``checkpoint`` wrote, once no later job reads them; others and None are left alone."""
+    for t in tables:
+        if t is not None and (path := _stored.pop(id(t), None)):
+            remove(t.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -157,10 +190,6 @@ def run_starts(first: np.ndarray, k: int) -> np.ndarray:
     return np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 def packed(df: DataFrame, *needed: str) -> DataFrame:
     """``_row`` with all columns, and the needed ones beside it, so that further columns cannot clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[F.col(f"`{c}`") for c in needed])

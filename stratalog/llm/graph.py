@@ -1,10 +1,15 @@
-"""Clusters from hash buckets: connected components of all verified links within buckets.
-
-Members of a bucket are first held against a few of their own, chosen by hash and
-different from bucket to bucket; verified links make components; members still in
-another component than their bucket's chosen one are tried again with others. What
-then still shares a bucket across components is compared pair by pair, so no link
-is lost, while a large group of near copies never makes all of its pairs.
+"""Clusters from hash buckets: connected components of verified links within buckets.
+
+Nodes are 64-bit numbers without order of their own, so a bucket's least and largest
+node are two chosen at random, and the same ones in all buckets that a group shares.
+All members of a bucket are held against these two. That settles buckets of up to
+three nodes, and large groups of copies, which need no other links. Buckets that still
+hold more than one component then go on: those of up to ``SMALL`` nodes are compared
+pair by pair; in larger ones all members are held against the node that shares the most
+buckets (the middle of a group of near copies) and against two more, and what is still
+apart meets again in buckets of two neighbouring slots, turn by turn; at last, chosen
+nodes change until a turn finds no link. So work stays in proportion to members.
+A bucket's slot is its number modulo ``SLOTS``: the place among a node's buckets.
 """
 
 from __future__ import annotations
@@ -15,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, discard
 
-ROUNDS = 2
-FEW = 4
+SLOTS = 32
+SMALL = 16
+LAST_TURNS = 8
 
 
 class Forest:
@@ -61,8 +67,10 @@ def components(edges: DataFrame) -> DataFrame:
         own = F.max(F.when(F.col("a") == F.col("b"), F.col("label")))
         again = e.join(jumped, e["b"] == jumped["node"]).groupBy("a").agg(F.min("label").alias("label"), own.alias("own"))
         seen = Observation()
-        labels = checkpoint(again.observe(seen, F.count_if(F.col("label") != F.col("own")).alias("n")).select(F.col("a").alias("node"), "label"))
+        before, labels = labels, checkpoint(again.observe(seen, F.count_if(F.col("label") != F.col("own")).alias("n")).select(F.col("a").alias("node"), "label"))
+        discard(before)
         if not seen.get["n"]:
+            discard(e)
             return labels
 
 
@@ -70,66 +78,121 @@ def verified(pairs: DataFrame, features: DataFrame, alike: Callable[[bytes, byte
     """Links ``(a, b)`` with the components of those pairs whose features ``(node, f)`` are alike: the trees of each task."""
     left, right = features.toDF("a", "fa"), features.toDF("b", "fb")
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "fa", "fb")
-    kinds = [f.dataType.simpleString() for f in pairs.select("a", "b").schema]
-    arrow = pa.int64() if kinds[0] == "bigint" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for batch in batches:
             fa, fb = batch.column(2), batch.column(3)
             for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if alike(fa[i].as_py(), fb[i].as_py()):
+                if forest.root(a) != forest.root(b) and alike(fa[i].as_py(), fb[i].as_py()):
                     forest.link(a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(x, arrow) for x in forest.edges()], names=["a", "b"])
-
-    return joined.mapInArrow(run, f"a {kinds[0]}, b {kinds[1]}")
-
-
-def cluster(members: DataFrame, features: Callable[[DataFrame], DataFrame], alike: Callable[[bytes, bytes], bool], near: Callable[[str, str], F.Column] | None = None, extra: list[str] | None = None) -> DataFrame:
-    """``(node, label)`` of the nodes that have a link; ``members``: ``(bucket, node, extra…)`` with a node once in a bucket.
-
-    ``features``: the ``(node, f)`` of given nodes. ``near``: a cheap condition on the extra columns with prefixes, before features are looked at.
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest.edges()], names=["a", "b"])
+
+    return joined.mapInArrow(run, "a bigint, b bigint")
+
+
+class _Links:
+    """Verified links so far, the components they make, and the features that were read for them."""
+
+    def __init__(self, features: Callable[[DataFrame], DataFrame], alike: Callable[[bytes, bytes], bool], screen: Callable[[DataFrame], DataFrame] | None) -> None:
+        self.features, self.alike, self.screen = features, alike, screen
+        self.links: list[DataFrame] = []
+        self.held: list[DataFrame] = []
+        self.labels: DataFrame | None = None
+
+    def _all(self, frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.union(f)
+        return out
+
+    def add(self, pairs: DataFrame) -> bool:
+        """Verifies pairs ``(a, b)``, repeated ones too; whether any link is new."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = checkpoint(self.screen(pairs) if self.screen else pairs)
+        try:
+            if pairs.isEmpty():
+                return False
+            wanted = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
+            if self.held:
+                wanted = wanted.join(self._all(self.held).select("node"), "node", "left_anti")
+            wanted = checkpoint(wanted)
+            if not wanted.isEmpty():
+                self.held.append(checkpoint(self.features(wanted)))
+            discard(wanted)
+            fresh = checkpoint(verified(pairs, self._all(self.held), self.alike))
+        finally:
+            discard(pairs)
+        if fresh.isEmpty():
+            discard(fresh)
+            return False
+        self.links.append(fresh)
+        before, self.labels = self.labels, components(self._all(self.links))
+        discard(before)
+        return True
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """``(bucket, node, label)``"""
+        if self.labels is None:
+            return rows.select("bucket", "node", F.col("node").alias("label"))
+        return rows.join(self.labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+
+    def close(self) -> None:
+        discard(*self.links, *self.held)
+
+
+def _mixed(links: _Links, rows: DataFrame, least: int) -> DataFrame:
+    """``(bucket, node, label, n)`` of buckets with at least ``least`` nodes and more than one component."""
+    m = links.labelled(rows)
+    stat = m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(f"lo <> hi and n >= {least}")
+    return checkpoint(m.join(stat.select("bucket", "n"), "bucket"))
+
+
+def _chosen(m: DataFrame, turn: int) -> DataFrame:
+    """Pairs of members with three of their bucket in other components: the one with the most companions, and two by hash."""
+    degree = m.groupBy("node").agg(F.sum("n").alias("degree"))
+    entry = lambda order: F.struct(order, "node", "label")
+    h = F.xxhash64("node", F.lit(turn))
+    picks = [F.max(entry(F.col("degree"))), F.min(entry(h)), F.max(entry(h))]
+    r = m.join(degree, "node").groupBy("bucket").agg(*[p.alias(f"r{i}") for i, p in enumerate(picks)])
+    flat = r.select("bucket", F.explode(F.array(*[F.struct(F.col(f"r{i}.node").alias("b"), F.col(f"r{i}.label").alias("other")) for i in range(len(picks))])).alias("r")).select("bucket", "r.*")
+    return m.join(flat, "bucket").where("label <> other").select(F.col("node").alias("a"), "b")
+
+
+def _narrower(m: DataFrame) -> DataFrame:
+    """Buckets of two neighbouring slots, for nodes in both."""
+    slot = lambda c: F.pmod(c, F.lit(SLOTS))
+    own = m.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(slot(F.col("bucket")).alias("slot"), "bucket"))).alias("all"))  # at most a node's buckets
+    size = F.size("all")
+    both = F.transform("all", lambda x, i: F.struct(x.slot.alias("slot"), F.xxhash64(x.bucket, F.get("all", F.pmod(i + 1, size)).bucket).alias("h")))
+    made = own.where(size > 1).select("node", F.explode(both).alias("x"))
+    return made.select((F.col("x.h") - slot(F.col("x.h")) + F.col("x.slot")).alias("bucket"), "node").distinct()
+
+
+def cluster(members: DataFrame, features: Callable[[DataFrame], DataFrame], alike: Callable[[bytes, bytes], bool], screen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``(node, label)`` of the nodes that have a link; ``members``: ``(bucket, node)``, repeated rows too.
+
+    ``features``: the ``(node, f)`` of given nodes. ``screen``: pairs ``(a, b)`` that are worth it, before features are read.
     """
-    extra = extra or []
-    labels: DataFrame | None = None
-    links: DataFrame | None = None
-    # Most buckets hold one node. They go first, by a count alone, so that turns read only what is shared.
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = checkpoint(members.join(shared, "bucket"))
-    held: DataFrame | None = None  # features of the nodes of pairs so far
-    for turn in range(ROUNDS + 1):
-        if labels is None:
-            m = members.withColumn("label", F.col("node"))
-        else:
-            m = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        order = F.xxhash64("node", F.pmod("bucket", F.lit(FEW)) if turn == 0 else F.col("bucket"), F.lit(turn))
-        chosen = m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(order.alias("o"), "node", "label", *extra)).alias("r"))
-        # A bucket of two was settled by the first turn.
-        mixed = chosen.where("lo <> hi" if turn == 0 else "lo <> hi and n > 2")
-        b = checkpoint(mixed.select("bucket", *[F.col(f"r.{c}").alias(f"b_{c}") for c in ("node", "label", *extra)]))
-        if b.isEmpty():
+    links = _Links(features, alike, screen)
+    ends = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    shared = checkpoint(members.join(ends, "bucket").distinct())
+    links.add(shared.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b"))
+    rows = shared.select("bucket", "node")
+    for turn in range(1, 3 + LAST_TURNS):
+        m = _mixed(links, rows, 4 if turn == 1 else 2)
+        if turn > 1:
+            discard(rows)
+        x, y = m.where(F.col("n") <= SMALL), m.where(F.col("n") > SMALL)
+        a, b = x.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), x.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
+        pairs = a.join(b, "bucket").where("a < b and la <> lb").select("a", "b").union(_chosen(y, turn))
+        found = links.add(pairs)
+        rows = checkpoint(_narrower(y) if turn < 3 else y.select("bucket", "node"))
+        discard(m)
+        if rows.isEmpty() or turn > 3 and not found:
             break
-        far = F.col("a_label") != F.col("b_label")
-        cond = far if near is None else far & near("a_", "b_")
-        if turn == ROUNDS:
-            m = checkpoint(m.join(b.select("bucket"), "bucket"))
-            b = m.select("bucket", *[F.col(c).alias(f"b_{c}") for c in ("node", "label", *extra)])
-            cond = cond & (F.col("a_node") < F.col("b_node"))
-        a = m.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", *extra)])
-        found = a.join(b, "bucket").where(cond).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-        pairs = checkpoint(found.distinct())
-        wanted = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
-        if held is not None:
-            wanted = checkpoint(wanted.join(held.select("node"), "node", "left_anti"))
-        if held is None or not wanted.isEmpty():
-            more = checkpoint(features(wanted))
-            held = more if held is None else held.union(more)
-        fresh = checkpoint(verified(pairs, held, alike))
-        if fresh.isEmpty():
-            continue
-        links = fresh if links is None else links.union(fresh)
-        labels = components(links)
-    if labels is None:
-        kind = dict(members.dtypes)["node"]
-        return members.sparkSession.createDataFrame([], f"node {kind}, label {kind}")
-    return labels
+    discard(rows, shared)
+    links.close()
+    if links.labels is None:
+        return members.sparkSession.createDataFrame([], "node bigint, label bigint")
+    return links.labels
