@@ -19,21 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices
+from .common import NOT_SPACE, Words, checkpoint, slices
 
 SIZE = 4096
 END_ID = 2
 RANKS = 1 << 45
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 RUN_WORDS = 256
 PIECES = "doc_id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-#: What may be cut off a word without changing its ids: a stop or comma after an ASCII letter begins a part of its own.
-_BREAK = re.compile(rb"(?<=[a-z])(?=[.,])")
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
@@ -44,10 +43,27 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) if b in visible else chr(next(hidden)) for b in range(256)}
 
 
+class Parts(Words):
+    """What stands between ASCII spaces, in ASCII lower case; a stop or comma after an ASCII letter begins a part of its own.
+
+    Such parts are encoded independently of each other.
+    """
+
+    def __init__(self, column: pa.Array) -> None:
+        super().__init__(column, NOT_SPACE)
+        at = np.flatnonzero((self.bytes == ord(".")) | (self.bytes == ord(",")))
+        at = at[~np.isin(at, self.offsets)]
+        before = self.bytes[at - 1]
+        at = at[(before >= ord("a")) & (before <= ord("z"))]
+        self.start, self.end = np.sort(np.concatenate([self.start, at])), np.sort(np.concatenate([self.end, at]))
+        self.first = np.searchsorted(self.start, self.offsets)
+
+
 class CachedTokenizer:
-    """Ids of texts through a bounded cache of the ids of what stands between ASCII spaces; such parts are encoded independently.
+    """Ids of texts through a bounded cache of the ids of parts, by their 64-bit hashes.
 
-    A part of plain lower-case letters is one word of the model, which is asked directly; other parts go through the whole tokenizer.
+    A part of plain lower-case letters is one word of the model, which is asked directly; other parts go through the whole tokenizer,
+    and so do texts that may hold one of its special tokens.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,59 +75,61 @@ class CachedTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[int, int] = {}
         self.ids, self.bound = np.zeros(1 << 20, np.uint32), np.zeros(CACHE_WORDS + 1, np.int64)
 
-    def _add(self, words: list[bytes], ids: list[int], sizes: np.ndarray) -> None:
+    def _add(self, keys: list[int], ids: list[int], sizes: np.ndarray) -> None:
         have, at = len(self.index), int(self.bound[len(self.index)])
         while at + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while have + len(words) >= len(self.bound):
+        while have + len(keys) >= len(self.bound):
             self.bound = np.concatenate([self.bound, np.zeros_like(self.bound)])
         self.ids[at : at + len(ids)] = ids
-        self.bound[have + 1 : have + 1 + len(words)] = at + np.cumsum(sizes)
-        self.index.update(zip(words, range(have, have + len(words)), strict=True))
+        self.bound[have + 1 : have + 1 + len(keys)] = at + np.cumsum(sizes)
+        self.index.update(zip(keys, range(have, have + len(keys)), strict=True))
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, keys: list[int], words: list[bytes]) -> None:
         """Other than plain parts are encoded as runs; a token belongs to the part in which it starts."""
-        plain, rest, coded = [], [], []
-        for w in words:
+        plain, rest, ids, sizes = [], [], [], []
+        for k, w in zip(keys, words, strict=True):
             if _PLAIN.fullmatch(t := w.decode()):
-                plain.append(w)
-                coded.append([x.id for x in self.model.tokenize(w.decode("latin-1").translate(self.alphabet))])
+                plain.append(k)
+                coded = self.model.tokenize(w.decode("latin-1").translate(self.alphabet))
+                sizes.append(len(coded))
+                ids += [x.id for x in coded]
             else:
-                rest.append((w, t))
+                rest.append((k, t))
         if plain:
-            self._add(plain, [i for x in coded for i in x], np.array([len(x) for x in coded]))
+            self._add(plain, ids, np.array(sizes))
         for i in range(0, len(rest), RUN_WORDS):
             part = rest[i : i + RUN_WORDS]
             starts = np.cumsum([0, *(len(t) + 1 for _, t in part[:-1])])
             e = self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False)
             word = np.searchsorted(starts, np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids)), "right") - 1
-            self._add([w for w, _ in part], e.ids, np.bincount(word, minlength=len(part)))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts: list[bytes] = []
-        n = [0]
-        for t in texts:
-            raw = (t or "").encode()
-            parts += (raw if b"<|" in raw else _BREAK.sub(b" ", raw.lower())).split()
-            n.append(len(parts))
-        k = list(map(self.index.get, parts))
+            self._add([k for k, _ in part], e.ids, np.bincount(word, minlength=len(part)))
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        w = Parts(column)
+        hashes, one, part = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        k = list(map(self.index.get, keys))
         if None in k:
-            missing = list(dict.fromkeys(w for w, i in zip(parts, k, strict=True) if i is None))
+            missing = [i for i, x in enumerate(k) if x is None]
             if len(self.index) + len(missing) > CACHE_WORDS:
                 self._clear()
-                missing = list(dict.fromkeys(parts))
-            self._learn(missing)
-            k = list(map(self.index.get, parts))
-        k = np.array(k, np.int64)
+                missing = range(len(keys))
+            self._learn([keys[i] for i in missing], [w.text(one[i]) for i in missing])
+            k = list(map(self.index.get, keys))
+        k = np.array(k, np.int64)[part]
         lo = self.bound[k]
         size = self.bound[k + 1] - lo
         total = np.concatenate([[0], np.cumsum(size)])
         flat = self.ids[np.repeat(lo - total[:-1], size) + np.arange(int(total[-1]))]
-        cut = total[n].tolist()
-        return [flat[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        cut = total[w.first].tolist()
+        out = [flat[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        for i in np.flatnonzero(pc.fill_null(pc.match_substring(column, "<|"), False).to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.array(self.tokenizer.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 _made: dict[str, CachedTokenizer] = {}
@@ -125,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
         _made[tokenizer] = coder
         for b in slices(batches, "text", 1 << 20):
             rows: list[tuple] = []
-            for i, ids in enumerate(coder.encode(b.column(1).to_pylist())):
+            for i, ids in enumerate(coder.encode(b.column(1))):
                 ids = np.append(ids, end_id).astype("<u4")
                 for at in range(0, len(ids), size):
                     x = ids[at : at + size]
