@@ -51,7 +51,7 @@ def op4_toxicity(spark, sf):
 
 @query
 def op5_passages(spark, sf):
-    return passages.passages(table(spark, sf, "documents"))
+    return passages.report(table(spark, sf, "documents"))
 
 
 @query
