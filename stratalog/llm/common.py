@@ -213,15 +213,24 @@ def vector_rows(total: np.ndarray, slice_size: int = 1 << 14) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "data"])
 
 
-def sum_vectors(df: DataFrame, size: int) -> np.ndarray:
-    """Sum of the vectors of all tasks: each slice is added up in a task of its own, the driver gets one vector of ``size``."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total: np.ndarray | None = None
-        for x in table.column("data"):
-            a = np.frombuffer(x.as_buffer(), np.float64)
-            total = a.copy() if total is None else total + a
-        return pa.table({"slice": table.column("slice")[:1], "data": pa.array([total.tobytes()], pa.binary())})
-
-    got = sorted((r["slice"], bytes(r["data"])) for r in df.groupBy("slice").applyInArrow(add, "slice int, data binary").collect())
+def sum_vectors(df: DataFrame, size: int, ways: int = 64) -> np.ndarray:
+    """Sum of the vectors of all tasks: slices are added up by ``ways`` tasks each and then by one, row after row; the driver gets one vector of ``size``."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "data"])
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if k != held:
+                    if held is not None:
+                        yield row()
+                    held, total = k, np.zeros(len(x.as_buffer()) // 8)
+                total += np.frombuffer(x.as_buffer(), np.float64)
+        if held is not None:
+            yield row()
+
+    kind = "slice int, data binary"
+    dealt = df.withColumn("way", F.pmod(F.spark_partition_id(), F.lit(ways))).repartition("slice", "way").sortWithinPartitions("slice").select("slice", "data")
+    whole = dealt.mapInArrow(add, kind).repartition("slice").sortWithinPartitions("slice").mapInArrow(add, kind)
+    got = sorted((r["slice"], bytes(r["data"])) for r in whole.collect())
     return np.concatenate([np.frombuffer(x, np.float64) for _, x in got]) if got else np.zeros(size)

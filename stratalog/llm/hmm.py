@@ -3,15 +3,19 @@
 Counts of all training words are kept exactly in a table. The model's symbols are
 the ``SYMBOLS`` most frequent words and one for all others; a rare or unseen word's
 share of that symbol is its share in the unigram base, so the model gives a
-probability to every text over the same events as the base. Expected counts of
-each Baum-Welch pass are made by all partitions and summed in slices; the driver
-gets one vector of the model's size. A first guess comes from a bounded sample.
-
-Likelihoods are exact: texts are cut into segments whose transfer matrices are
-made side by side with scaling, and multiplied in order, which is the scaled
-forward recursion of the whole sequence.
-
-Null and empty texts are the end token alone. Repeated rows count and score each.
+probability to every text over the same events as the base. Symbols of all training
+texts are written once. Expected counts of each Baum-Welch pass are made by all
+partitions and summed in slices; the driver gets one vector of the model's size.
+Passes over all training texts go on until the likelihood gains less than
+``SETTLED`` of itself, ``PASSES`` at most; the first guess comes from a bounded sample.
+
+Likelihoods and expected counts are exact, of whole texts: those of up to ``WHOLE``
+tokens go through the scaled recursions side by side; longer ones are cut into
+segments whose transfer matrices, multiplied in order, give each segment the messages
+from before and behind it, and moves across cuts count like others.
+
+Null and empty texts are the end token alone. Repeated rows count and score each. A
+null id is held out from nothing: its row is not learned from.
 Without training rows every token is unknown with probability 1.
 """
 
@@ -24,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, U64, Words, checkpoint, id_remainder, slices, sum_vectors, vector_rows
+from .common import NOT_SPACE, U64, Words, checkpoint, discard, id_remainder, slices, sum_vectors, vector_rows
 
 SYMBOLS = 8192
 KNOWN = 1 << 18
 STATES = 8
-PASSES = 2
+PASSES = 3
+SETTLED = 1e-3
 FIRST_PASSES = 25
-SEGMENT = 128
+WHOLE = 1024
 SAMPLE_TEXTS = 400
 PRIOR = 30.0
 END = U64(0)
@@ -97,38 +102,81 @@ class Vocabulary:
 
 
 class Hmm:
-    def __init__(self, start: np.ndarray, inner: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-        #: inner: state distribution at the start of a segment inside a text, for training.
-        self.start, self.inner, self.move, self.emit = start, inner, move, emit
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
+        self.start, self.move, self.emit = start, move, emit
 
     @classmethod
     def guess(cls, p0: np.ndarray, states: int = STATES, seed: int = 3) -> Hmm:
         rng = np.random.default_rng(seed)
         emit = p0 * rng.gamma(2.0, 0.5, (states, len(p0)))
         move = np.full((states, states), 0.1 / states) + np.eye(states) * 0.9
-        even = np.full(states, 1.0 / states)
-        return cls(even, even, move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
+        return cls(np.full(states, 1.0 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
     def flat_size(self) -> int:
         s = len(self.start)
-        return 2 * s + s * s + s * self.emit.shape[1] + 1
+        return s + s * s + s * self.emit.shape[1] + 1
+
+    def _transfer(self, table: np.ndarray, symbol: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled products of emissions and moves over each segment, without the move into its first token, and the log10 of their scales."""
+        s = len(self.start)
+        order = np.argsort(-size, kind="stable")
+        ranked, b = size[order], begin[order]
+        live = np.searchsorted(-ranked, -np.arange(int(ranked[0])), "left")
+        m = np.broadcast_to(np.eye(s), (len(size), s, s)).copy()
+        log = np.zeros(len(size))
+        for t, n in enumerate(live.tolist()):
+            x = m[:n] if t == 0 else m[:n] @ self.move
+            x = x * table[symbol[b[:n] + t]][:, None, :]
+            c = np.maximum(x.max(axis=(1, 2), keepdims=True), 1e-300)
+            m[:n] = x / c
+            log[:n] += np.log10(c[:, 0, 0])
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return m[back], log[back]
+
+    def _messages(self, table: np.ndarray, symbol: np.ndarray, begin: np.ndarray, size: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each segment: states before its first token, weights of the states of its last one by what follows, and log10 likelihood of texts of several segments at their first one."""
+        before, behind, log = np.tile(self.start, (len(size), 1)), np.ones((len(size), len(self.start))), np.zeros(len(size))
+        many = np.flatnonzero(~lead | np.append(~lead[1:], False))
+        if not len(many):
+            return before, behind, log
+        m, scale = self._transfer(table, symbol, begin[many], size[many])
+        head = lead[many]
+        number = np.arange(len(many)) - np.maximum.accumulate(np.where(head, np.arange(len(many)), 0))
+        a = np.tile(self.start, (len(many), 1))
+        own = np.zeros(len(many))
+        for k in range(int(number.max()) + 1):
+            pick = np.flatnonzero(number == k)
+            x = np.einsum("ns,nst->nt", a[pick], m[pick])
+            c = np.maximum(x.sum(axis=1, keepdims=True), 1e-300)
+            own[pick] = np.log10(c[:, 0]) + scale[pick]
+            onward = pick[(pick + 1 < len(many)) & ~head[np.minimum(pick + 1, len(many) - 1)]]
+            a[onward + 1] = (x / c)[np.searchsorted(pick, onward)] @ self.move
+        z = np.ones((len(many), len(self.start)))
+        for k in range(int(number.max()), 0, -1):
+            pick = np.flatnonzero(number == k)
+            x = np.einsum("nst,nt->ns", m[pick], z[pick]) @ self.move.T
+            z[pick - 1] = x / np.maximum(x.sum(axis=1, keepdims=True), 1e-300)
+        before[many], behind[many] = a, z
+        firsts = np.flatnonzero(head)
+        log[many[firsts]] = np.add.reduceat(own, firsts)
+        return before, behind, log
 
     def expected(self, symbol: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Expected counts over segments, flat: start, inner, moves, emissions, log10 likelihood of the segments."""
+        """Expected counts over whole texts, flat: start, moves, emissions, log10 likelihood."""
         s, v = self.emit.shape
-        begin, size, lead = segments(first)
-        order = np.argsort(-size, kind="stable")
-        begin, size, lead = begin[order], size[order], lead[order]
-        lanes, longest = len(size), int(size[0]) if len(size) else 0
         out = np.zeros(self.flat_size())
-        if not lanes:
+        begin, size, lead = segments(first)
+        if not len(size):
             return out
-        live = np.searchsorted(-size, -np.arange(longest), "left")  # lanes with more than t tokens
         table = np.ascontiguousarray(self.emit.T)
+        before, behind, _ = self._messages(table, symbol, begin, size, lead)
+        order = np.argsort(-size, kind="stable")
+        begin, size, lead, before, behind = (x[order] for x in (begin, size, lead, before, behind))
+        live = np.searchsorted(-size, -np.arange(int(size[0])), "left")  # lanes with more than t tokens
         alpha, scale = [], []
-        a = np.where(lead[:, None], self.start, self.inner)
-        for t in range(longest):
-            n = live[t]
+        a = before
+        for t, n in enumerate(live.tolist()):
             if t:
                 a = a[:n] @ self.move
             a = a * table[symbol[begin[:n] + t]]
@@ -141,77 +189,70 @@ class Hmm:
         gamma_all = np.zeros((int(size.sum()), s))
         where = np.zeros(len(gamma_all), np.int64)
         at = len(gamma_all)
-        beta = np.ones((live[longest - 1], s))
-        for t in range(longest - 1, -1, -1):
+        beta = np.zeros((0, s))
+        for t in range(len(live) - 1, -1, -1):
             n = live[t]
-            if len(beta) < n:
-                beta = np.vstack([beta, np.ones((n - len(beta), s))])
+            if len(beta) < n:  # lanes that end here
+                ends = alpha[t][len(beta) : n]
+                z = behind[len(beta) : n]
+                beta = np.vstack([beta, z / np.maximum((ends * z).sum(axis=1, keepdims=True), 1e-300)])
             g = alpha[t] * beta
             g /= np.maximum(g.sum(axis=1, keepdims=True), 1e-300)
             at -= n
             gamma_all[at : at + n], where[at : at + n] = g, symbol[begin[:n] + t]
+            f = beta * table[symbol[begin[:n] + t]] / scale[t]
             if t:
-                f = beta * table[symbol[begin[:n] + t]] / scale[t]
                 moves += alpha[t - 1][:n].T @ f
                 beta = f @ self.move.T
             else:
-                out[:s], out[s : 2 * s] = g[lead].sum(axis=0), g[~lead].sum(axis=0)
-        out[2 * s : 2 * s + s * s] = (moves * self.move).ravel()
+                out[:s] = g[lead].sum(axis=0)
+                # Moves across cuts: from what the segment before ends in, which ``before`` was made of.
+                cut = np.flatnonzero(~lead)
+                if len(cut):
+                    back = np.empty_like(order)
+                    back[order] = np.arange(len(order))
+                    prior = back[order[cut] - 1]
+                    last = np.stack([alpha[size[p] - 1][p] for p in prior.tolist()])
+                    moves += last.T @ f[cut]
+        out[s : s + s * s] = (moves * self.move).ravel()
         for k in range(s):
-            lo = 2 * s + s * s + k * v
+            lo = s + s * s + k * v
             out[lo : lo + v] = np.bincount(where, weights=gamma_all[:, k], minlength=v)
         return out
 
     def updated(self, counts: np.ndarray, p0: np.ndarray, prior: float = PRIOR) -> Hmm:
         s, v = self.emit.shape
-        start, inner = counts[:s] + 0.1, counts[s : 2 * s] + 0.1
-        move = counts[2 * s : 2 * s + s * s].reshape(s, s) + 0.1
-        emit = counts[2 * s + s * s : -1].reshape(s, v) + prior * p0
-        return Hmm(start / start.sum(), inner / inner.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
+        start = counts[:s] + 0.1
+        move = counts[s : s + s * s].reshape(s, s) + 0.1
+        emit = counts[s + s * s : -1].reshape(s, v) + prior * p0
+        return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
     def log10(self, symbol: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Exact log10 likelihood of each text's symbols."""
-        s = len(self.start)
-        docs = len(first) - 1
         begin, size, lead = segments(first)
-        doc = np.cumsum(lead) - 1
-        order = np.argsort(-size, kind="stable")
-        ranked, b = size[order], begin[order]
-        longest = int(ranked[0])
-        live = np.searchsorted(-ranked, -np.arange(longest), "left")
         table = np.ascontiguousarray(self.emit.T)
-        m = np.broadcast_to(np.eye(s), (len(size), s, s)).copy()
-        log = np.zeros(len(size))
-        for t in range(longest):
-            n = live[t]
-            x = m[:n] if t == 0 else m[:n] @ self.move  # the move into a segment's first token comes when segments are joined
-            x = x * table[symbol[b[:n] + t]][:, None, :]
-            c = np.maximum(x.max(axis=(1, 2), keepdims=True), 1e-300)
-            m[:n] = x / c
-            log[:n] += np.log10(c[:, 0, 0])
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        m, log = m[back], log[back]
-        number = np.arange(len(size)) - np.flatnonzero(lead)[doc]
-        a = np.tile(self.start, (docs, 1))
-        total = np.zeros(docs)
-        for k in range(int(number.max()) + 1):
-            pick = np.flatnonzero(number == k)
-            d = doc[pick]
-            x = a[d] if k == 0 else a[d] @ self.move
-            x = np.einsum("ns,nst->nt", x, m[pick])
-            c = np.maximum(x.sum(axis=1, keepdims=True), 1e-300)
-            a[d] = x / c
-            total[d] += np.log10(c[:, 0]) + log[pick]
-        return total
+        total = self._messages(table, symbol, begin, size, lead)[2]
+        alone = np.flatnonzero(lead & np.append(lead[1:], True))
+        order = alone[np.argsort(-size[alone], kind="stable")]
+        if len(order):
+            b = begin[order]
+            a = np.tile(self.start, (len(order), 1))
+            log = np.zeros(len(order))
+            for t, n in enumerate(np.searchsorted(-size[order], -np.arange(int(size[order[0]])), "left").tolist()):
+                a = (a[:n] if t == 0 else a[:n] @ self.move) * table[symbol[b[:n] + t]]
+                c = np.maximum(a.sum(axis=1, keepdims=True), 1e-300)
+                a = a / c
+                log[:n] += np.log10(c[:, 0])
+            total[order] = log
+        return total[lead]
 
 
 def segments(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, size, and whether it leads its text, of segments of SEGMENT tokens at most; every text has a token."""
+    """Begin, size, and whether it leads its text, of segments of WHOLE tokens at most; every text has a token."""
     n = np.diff(first)
-    parts = -(-n // SEGMENT)
-    begin = np.repeat(first[:-1] - (np.cumsum(parts) - parts) * SEGMENT, parts) + np.arange(int(parts.sum())) * SEGMENT
-    end = np.minimum(begin + SEGMENT, np.repeat(first[1:], parts))
+    parts = -(-n // WHOLE)
+    begin = np.repeat(first[:-1] - (np.cumsum(parts) - parts) * WHOLE, parts) + np.arange(int(parts.sum())) * WHOLE
+    end = np.minimum(begin + WHOLE, np.repeat(first[1:], parts))
     return begin, end - begin, begin == np.repeat(first[:-1], parts)
 
 
@@ -244,19 +285,34 @@ def fit(train: DataFrame) -> tuple[DataFrame, Vocabulary, Hmm]:
                 h, first = tokens(pa.array(sample[i : i + 100], pa.large_string()))
                 total += model.expected(words.look_up(h)[0], first)
             model = model.updated(total, words.p0)
+    known = sc.broadcast(words)  # KNOWN words
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 1 << 20):
+            h, first = tokens(b.column(0))
+            raw = known.value.look_up(h)[0].astype(np.uint16).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([raw[2 * lo : 2 * hi] for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())], names=["symbols"])
+
+    coded = checkpoint(train.select(text.alias("text")).mapInArrow(code, "symbols binary"))
+    likelihood = -np.inf
     for _ in range(PASSES):
-        shared = sc.broadcast((words, model))  # KNOWN words, STATES x SYMBOLS numbers
+        shared = sc.broadcast(model)  # STATES x SYMBOLS numbers
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words, model = shared.value
+            model = shared.value
             total = np.zeros(model.flat_size())
-            for b in slices(batches, "text", 1 << 20):
-                h, first = tokens(b.column(0))
-                total += model.expected(words.look_up(h)[0], first)
+            for b in slices(batches, "symbols", 1 << 19):
+                rows = b.column(0).to_pylist()
+                total += model.expected(np.frombuffer(b"".join(rows), np.uint16), np.cumsum([0, *(len(x) // 2 for x in rows)]))
             yield vector_rows(total)
 
-        total = sum_vectors(train.select(text.alias("text")).mapInArrow(run, "slice int, data binary"), model.flat_size())
+        total = sum_vectors(coded.mapInArrow(run, "slice int, data binary"), model.flat_size())
+        shared.destroy()
         model = model.updated(total, words.p0)
+        gain, likelihood = total[-1] - likelihood, float(total[-1])
+        if gain < SETTLED * abs(likelihood):
+            break
+    discard(coded)
     return counts, words, model
 
 

@@ -239,6 +239,44 @@ def test_hmm_likelihood_is_exact():
         assert abs(model.log10(symbol, first)[d] - total) < 1e-9
 
 
+@pytest.mark.parametrize("whole", [1, 2, 3, 1024])
+def test_hmm_expected_counts_by_all_paths(whole, monkeypatch):
+    monkeypatch.setattr(hmm, "WHOLE", whole)
+    states, symbols = 2, 3
+    model = hmm.Hmm.guess(np.full(symbols, 1 / symbols), states=states, seed=5)
+    model.start = np.array([0.3, 0.7])
+    symbol, first = np.array([0, 1, 2, 2, 1, 0, 1, 1, 2, 0]), np.array([0, 1, 3, 10])
+    start, move, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols)), 0.0
+    for lo, hi in itertools.pairwise(first.tolist()):
+        o, ways = symbol[lo:hi], []
+        for path in itertools.product(range(states), repeat=hi - lo):
+            p = model.start[path[0]] * model.emit[path[0], o[0]]
+            for t in range(1, hi - lo):
+                p *= model.move[path[t - 1], path[t]] * model.emit[path[t], o[t]]
+            ways.append((path, p))
+        total = sum(p for _, p in ways)
+        log += math.log10(total)
+        for path, p in ways:
+            start[path[0]] += p / total
+            for t, x in enumerate(path):
+                emit[x, o[t]] += p / total
+                if t:
+                    move[path[t - 1], x] += p / total
+    assert np.allclose(model.expected(symbol, first), np.concatenate([start, move.ravel(), emit.ravel(), [log]]))
+    assert abs(model.log10(symbol, first).sum() - log) < 1e-9
+
+
+def test_hmm_passes_do_not_lose_likelihood():
+    r = random.Random(4)
+    symbol, first = np.array([r.choice([0, 0, 1]) if (i // 40) % 2 else r.choice([2, 3]) for i in range(3000)]), np.array([0, 10, 700, 3000])
+    model, p0, seen = hmm.Hmm.guess(np.full(4, 0.25), states=2), np.full(4, 0.25), []
+    for _ in range(12):
+        total = model.expected(symbol, first)
+        seen.append(total[-1])
+        model = model.updated(total, p0, prior=0.0)
+    assert all(b > a - 0.2 for a, b in itertools.pairwise(seen)) and seen[-1] > seen[0] + 100
+
+
 def test_hmm(spark, odd, empty):
     docs = spark.createDataFrame([(i, prose(i, 30, 50)) for i in range(60)], ODD_SCHEMA).unionByName(odd.select("doc_id", "text"))
     train = hmm.training_rows(docs)
