@@ -1,7 +1,9 @@
 """WARC archives written and read back, with an external merge of their capture indexes.
 
 Writing is JVM-side: one text line per record whose line end is the record end;
-archives are gzipped, and offsets count unpacked bytes.
+archives are gzipped as a whole, as Spark's writer can do no other, so offsets count
+unpacked bytes; an archive holds one task's records, whose size AQE bounds, and
+``RECORDS_PER_FILE`` at most. Archives are read record by record.
 Of records with equal payloads of at least ``min_bytes`` bytes, that with the
 largest id is the response; the others revisit it and carry no payload.
 
@@ -20,18 +22,23 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_folder
+from .common import checkpoint, remove, shared_folder
 
 RECORDS_PER_FILE = 4096
 SALTS = 16
+CHUNK = 1 << 20
+#: Entries of a run that are unpacked at a time.
+AHEAD = 256
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ENTRY = "urlkey string, timestamp string, page_id bigint, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, archive string, offset bigint, length bigint"
 _NAMES = [x.split()[0] for x in ENTRY.split(", ")]
@@ -101,26 +108,44 @@ def urlkey(url: str) -> str:
 _ID = re.compile(rb"<urn:page:(-?\d*)>")
 
 
-def parse(data: bytes, archive: str) -> Iterator[tuple]:
-    """Index entries of one archive in file order. Digests of responses are taken from the payload itself."""
+def _head(f: BinaryIO) -> tuple[dict[bytes, bytes], int]:
+    """Fields of a block of header lines, and its size with the empty line that ends it."""
+    fields: dict[bytes, bytes] = {}
+    size = 0
+    while line := f.readline():
+        size += len(line)
+        if line == b"\r\n":
+            break
+        name, _, value = line[:-2].partition(b": ")
+        fields[name] = value
+    return fields, size
+
+
+def parse(f: BinaryIO, archive: str) -> Iterator[tuple]:
+    """Index entries of one archive in file order, read record by record. Digests of responses are taken from the payload itself."""
     at = 0
-    while at < len(data):
-        cut = data.index(b"\r\n\r\n", at)
-        head = dict(x.split(b": ", 1) for x in data[at:cut].split(b"\r\n")[1:])
-        body = cut + 4
-        end = body + int(head[b"Content-Length"])
-        blank = data.index(b"\r\n\r\n", body, end)
-        http = dict(x.split(b": ", 1) for x in data[body:blank].split(b"\r\n")[1:])
+    while True:
+        head, size = _head(f)
+        if not head:
+            return
+        http, inner = _head(f)
         kind = head[b"WARC-Type"].decode()
+        left = payload = int(head[b"Content-Length"]) - inner
+        sha = hashlib.sha1()
+        while left:
+            if not (part := f.read(min(left, CHUNK))):
+                raise EOFError(f"{archive}: record at {at} is cut")
+            sha.update(part)
+            left -= len(part)
         if kind == "response":
-            payload = memoryview(data)[blank + 4 : end]
-            size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            digest = base64.b32encode(sha.digest()).decode()
         else:
-            size, digest = int(http[b"Content-Length"]), head[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
+            payload, digest = int(http[b"Content-Length"]), head[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
         ids = [int(m[1]) if (m := _ID.match(head.get(k, b""))) and m[1] else None for k in (b"WARC-Record-ID", b"WARC-Refers-To")]
         stamp = re.sub(rb"\D", b"", head[b"WARC-Date"]).decode()
-        yield urlkey(head[b"WARC-Target-URI"].decode("utf-8", "replace")), stamp, ids[0], kind, size, digest, ids[1], archive, at, end - at
-        at = end + 4
+        length = size + int(head[b"Content-Length"])
+        yield urlkey(head[b"WARC-Target-URI"].decode("utf-8", "replace")), stamp, ids[0], kind, payload, digest, ids[1], archive, at, length
+        at += length + len(f.read(4))
 
 
 def _order(e: tuple) -> tuple:
@@ -183,26 +208,47 @@ def runs(spark, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                if entries := sorted(parse(gzip.decompress(b.column(1)[i].as_buffer()), b.column(0)[i].as_py()), key=_order):
+                if entries := sorted(parse(io.BufferedReader(gzip.GzipFile(fileobj=pa.BufferReader(b.column(1)[i].as_buffer())), CHUNK), b.column(0)[i].as_py()), key=_order):
                     yield _batch(entries)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path)
     return files.select(F.regexp_extract("path", r"[^/]+$", 0).alias("archive"), "content").mapInArrow(read, ENTRY)
 
 
+def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> list[list[pa.RecordBatch]]:
+    """The parts of runs that a range has, as they came: Arrow slices that rise within a run."""
+    out: list[list[pa.RecordBatch]] = []
+    open_: dict[str, tuple[int, tuple]] = {}  # of each archive: its last run, and the last entry there
+    for b in batches:
+        columns = [b.column(i).to_pylist() for i in (0, 1, 2, 7, 8)]
+        keys = [(u, t, -1 if p is None else p, a, o) for u, t, p, a, o in zip(*columns, strict=True)]
+        begin = 0
+        for i in range(1, len(keys) + 1):
+            if i < len(keys) and keys[i][3] == keys[begin][3] and keys[i] >= keys[i - 1]:
+                continue
+            archive = keys[begin][3]
+            k, last = open_.get(archive, (-1, keys[begin]))
+            if k < 0 or last > keys[begin]:  # another range's part of the run follows
+                k = len(out)
+                out.append([])
+            out[k].append(b.slice(begin, i - begin))
+            open_[archive] = k, keys[i - 1]
+            begin = i
+    return out
+
+
+def _unpacked(run: list[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in run:
+        for i in range(0, b.num_rows, AHEAD):
+            yield from zip(*(c.to_pylist() for c in b.slice(i, AHEAD).columns), strict=True)
+
+
 def merge(index: DataFrame) -> DataFrame:
     """Globally ordered entries: partition by partition, each merged from its parts of the runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[list[tuple]]] = {}
-        for b in batches:
-            for e in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                have = parts.setdefault(e[7], [[]])
-                if have[-1] and _order(have[-1][-1]) > _order(e):  # another range's part of the run follows
-                    have.append([])
-                have[-1].append(e)
         out: list[tuple] = []
-        for e in LoserTree([r for x in parts.values() for r in x]):
+        for e in LoserTree([_unpacked(r) for r in _sorted_runs(batches)]):
             out.append(e)
             if len(out) == 8192:
                 yield _batch(out)
@@ -215,9 +261,11 @@ def merge(index: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> DataFrame:
-    """Writes the archives, reads them back and merges their indexes."""
+    """Writes the archives, reads them back and merges their indexes. Archives without a path of their own are deleted once they are read."""
     spark = pages.sparkSession
+    at = path or shared_folder(spark)
+    write(pages, at, min_bytes)
+    index = checkpoint(runs(spark, at))
     if path is None:
-        path = shared_folder(spark)
-    write(pages, path, min_bytes)
-    return merge(checkpoint(runs(spark, path)))
+        remove(spark, at)
+    return merge(index)
