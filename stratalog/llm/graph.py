@@ -1,9 +1,9 @@
 """Clusters from hash buckets: connected components of verified links within buckets.
 
-Nodes are 64-bit numbers without order of their own, so a bucket's least and largest
-node are two chosen at random, and the same ones in all buckets that a group shares.
-All members of a bucket are held against these two. That settles buckets of up to
-three nodes, and large groups of copies, which need no other links. Buckets that still
+Nodes are 64-bit numbers without order of their own, so a bucket's least node is one
+chosen at random, and the same one in most buckets that a group shares. All members of
+a bucket are held against it. That settles buckets of two nodes, and large groups of
+copies, which need no other links. Buckets that still
 hold more than one component then go on: those of up to ``SMALL`` nodes are compared
 pair by pair; in larger ones all members are held against the node that shares the most
 buckets (the middle of a group of near copies) and against two more, and what is still
@@ -24,7 +24,7 @@ from .common import checkpoint, discard
 
 SLOTS = 32
 SMALL = 16
-LAST_TURNS = 8
+LAST_TURNS = 4
 
 
 class Forest:
@@ -175,12 +175,12 @@ def cluster(members: DataFrame, features: Callable[[DataFrame], DataFrame], alik
     ``features``: the ``(node, f)`` of given nodes. ``screen``: pairs ``(a, b)`` that are worth it, before features are read.
     """
     links = _Links(features, alike, screen)
-    ends = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    ends = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket", "lo")
     shared = checkpoint(members.join(ends, "bucket").distinct())
-    links.add(shared.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b"))
+    links.add(shared.select(F.col("node").alias("a"), F.col("lo").alias("b")).where("a <> b"))
     rows = shared.select("bucket", "node")
     for turn in range(1, 3 + LAST_TURNS):
-        m = _mixed(links, rows, 4 if turn == 1 else 2)
+        m = _mixed(links, rows, 3 if turn == 1 else 2)
         if turn > 1:
             discard(rows)
         x, y = m.where(F.col("n") <= SMALL), m.where(F.col("n") > SMALL)
