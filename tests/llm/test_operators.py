@@ -81,6 +81,61 @@ def test_edit_similarity():
         assert lines.edit_alike(a, b) == (m == 0 or 1 - distance(a, b) / m >= 0.8 - 1e-9)
 
 
+def test_line_buckets_find_most_alike_pairs():
+    r = random.Random(12)
+    alike, texts = [], []
+    for i in range(300):
+        words = [f"{r.choice('bcdfgklmnprst')}{r.choice('aeiou')}{r.choice('lmnrst')}{r.randrange(900)}" for _ in range(r.choice([6, 10, 14, 20, 31, 33, 60, 120]))]
+        other = list(words)
+        for _ in range(r.randrange(1, 4)):
+            k = r.randrange(len(other))
+            other[k] = r.choice([other[k][:-1], other[k] + "x", "another"])
+        texts += [" ".join(words), " ".join(other)]
+        if lines.edit_alike(texts[-1].encode(), texts[-2].encode()):
+            alike.append((2 * i, 2 * i + 1))
+    x = lines.Lines(pa.array(["\n".join(texts)]))
+    x.hashes()
+    bucket, at = x.buckets(np.arange(len(texts)))
+    own = [set(bucket[a:b].tolist()) for a, b in itertools.pairwise(at.tolist())]
+    assert len(alike) > 200 and sum(bool(own[a] & own[b]) for a, b in alike) >= 0.9 * len(alike)
+
+
+def test_edit_similarity_quick_answers_agree():
+    r = random.Random(13)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a):
+            row, last = [i + 1], row
+            for j, d in enumerate(b):
+                row.append(min(last[j] + (c != d), last[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    for _ in range(300):
+        a = bytes(r.choice(b"abc") for _ in range(r.randrange(1, 60)))
+        b = bytearray(a)
+        for _ in range(r.randrange(0, 16)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randrange(2)] = bytes(r.choice(b"abc") for _ in range(r.randrange(2)))
+        b = bytes(b)
+        most = max(len(a), len(b))
+        assert lines.edit_alike(a, b) == (distance(a, b) <= int(0.2 * most + 1e-9))
+
+
+def test_cluster_of_a_hot_bucket_against_all_pairs(spark):
+    r = random.Random(14)
+    value = {r.getrandbits(62): v for v in [*(100 + i % 40 for i in range(400)), *(10_000 + 100 * i for i in range(400))]}
+    near = lambda a, b: abs(int(a) - int(b)) <= 40
+    rows = [(s, n) for n in value for s in range(4)]  # all nodes meet in every bucket
+    held = spark.createDataFrame([(n, str(v).encode()) for n, v in value.items()], "node bigint, f binary")
+    got = {x["node"]: x["label"] for x in graph.cluster(spark.createDataFrame(rows, "bucket bigint, node bigint"), lambda w: held.join(w, "node"), near).collect()}
+    forest = graph.Forest()
+    for a, b in itertools.combinations(value, 2):
+        if near(value[a], value[b]):
+            forest.link(a, b)
+    assert {n: forest.root(n) for n in forest.up} == got
+
+
 def test_line_dedup(spark, odd, empty):
     long = prose(1, 40)
     docs = spark.createDataFrame([(1, f"First {prose(2, 9)}\n{long}\n\n--"), (2, f"{long.upper()}!\n{prose(3, 9)}\n--"), (3, long.replace(long.split()[7], long.split()[7] + "x"))], ODD_SCHEMA)
