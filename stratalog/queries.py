@@ -74,7 +74,7 @@ def filter_gt_sum_codegen(spark, sf):
 @query("SELECT l_orderkey // 1000 AS segment_id, CAST(sum(l_partkey) AS BIGINT) AS partial_sum, count(*) AS partial_count FROM lineitem WHERE l_partkey > 100 GROUP BY 1")
 def partial_final_sum(spark, sf):
     df = d.table(spark, sf, "lineitem").where(F.col("l_partkey") > 100)
-    return df.groupBy(F.floor(F.col("l_orderkey") / 1000).alias("segment_id")).agg(F.sum("l_partkey").alias("partial_sum"), F.count(F.lit(1)).alias("partial_count"))
+    return df.groupBy(F.expr("l_orderkey div 1000").alias("segment_id")).agg(F.sum("l_partkey").alias("partial_sum"), F.count(F.lit(1)).alias("partial_count"))
 
 
 @query("SELECT CAST(coalesce(sum(CASE WHEN l_partkey % 5 = 0 THEN 0 ELSE l_partkey END), 0) AS BIGINT) AS sum, count(*) AS matched_count FROM lineitem WHERE coalesce(nullif(l_orderkey % 10, 0), 0) > -1")
@@ -133,7 +133,7 @@ count(*) - count(nullif(o_custkey % 7, 0)) AS c_nulls, min(o_orderkey) AS o_orde
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
-    return d.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.expr("nullif(o_custkey % 7, 0)").alias("c"), "o_orderstatus", F.floor(F.col("o_orderkey") / 1000).alias("segment_id"))
+    return d.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.expr("nullif(o_custkey % 7, 0)").alias("c"), "o_orderstatus", F.expr("o_orderkey div 1000").alias("segment_id"))
 
 
 @query(_SEGMENT_STATS)

@@ -31,7 +31,7 @@ def with_segment(df: DataFrame, rows: int = SEGMENT_ROWS) -> DataFrame:
     """Logical segments over the hidden row id."""
     from pyspark.sql import functions as F
 
-    return df.withColumn("segment_id", F.floor(F.col(ROW_ID) / rows).cast("bigint"))
+    return df.withColumn("segment_id", F.expr(f"`{ROW_ID}` div {rows}"))
 
 
 def describe(df: DataFrame, user: T.StructType) -> DataFrame:
