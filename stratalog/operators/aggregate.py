@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import platform
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -74,3 +75,9 @@ def strategy_session(spark: SparkSession, strategy: str) -> SparkSession:
     if strategy == "arrow":
         own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     return own
+
+
+def capabilities(spark: SparkSession) -> dict[str, str | int]:
+    """What the strategies can build on: cores, machine, and the settings that choose between them."""
+    names = {"codegen": "spark.sql.codegen.wholeStage", "vectorized_reader": "spark.sql.parquet.enableVectorizedReader", "adaptive": "spark.sql.adaptive.enabled"}
+    return {"cores": spark.sparkContext.defaultParallelism, "machine": platform.machine(), "spark": spark.version} | {k: spark.conf.get(v) for k, v in names.items()}

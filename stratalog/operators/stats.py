@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import ROW_ID, PredicateOp
 from .predicate import can_skip, compare, typed_literal
 
 
+def column_stats(columns: list[str]) -> list[Column]:
+    return [a for c in columns for a in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), (F.count(F.lit(1)) - F.count(c)).alias(f"{c}_nulls"))]
+
+
 def segment_stats(df: DataFrame, segment: str, columns: list[str]) -> DataFrame:
     """Per segment: rows and, for each column, min, max and null count. NULLs do not enter min and max."""
-    made = [F.count(F.lit(1)).alias("row_count")]
-    for c in columns:
-        made += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), (F.count(F.lit(1)) - F.count(c)).alias(f"{c}_nulls")]
-    return df.groupBy(segment).agg(*made)
+    return df.groupBy(segment).agg(F.count(F.lit(1)).alias("row_count"), *column_stats(columns))
 
 
 def skip_report(stats: DataFrame, column: str, dtype, op: PredicateOp, value) -> DataFrame:
@@ -65,6 +66,13 @@ def dictionary(df: DataFrame, value: str, position: str) -> DataFrame:
     return dense_ids(first, "_first", "code").drop("_first")
 
 
+def rebuild_dictionary(spark: SparkSession, values: list[str], value: str) -> DataFrame:
+    """``(value, code)`` from values in code order, as a dictionary was stored."""
+    if len(set(values)) != len(values) or None in values:
+        raise ValueError("a dictionary holds each value once and no NULL")
+    return spark.createDataFrame([(values,)], "v array<string>").select(F.posexplode("v").alias("code", value)).select(value, F.col("code").cast("bigint").alias("code"))
+
+
 def encode(df: DataFrame, words: DataFrame, value: str) -> DataFrame:
     """NULL, or a value that the dictionary lacks, has a NULL code."""
     return df.join(words, value, "left")

@@ -13,6 +13,7 @@ from .operators import aggregate, compaction, mvcc, predicate, stats
 from .plans import derived as d
 from .plans import recovery
 from .schema import ROW_ID, PredicateOp, Reader
+from .sources import segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -208,6 +209,19 @@ def segment_checksum_crc32c(spark, sf):
     return segment_checksums(_segments(spark, sf), "segment_id", "o_orderstatus")
 
 
+@query("SELECT o_orderkey // 1000 AS segment_id, bool_or(o_orderkey % 2500 = 7) AS damaged FROM orders GROUP BY 1")
+def segment_verify(spark, sf):
+    """Checksums taken before some cells are changed tell the segments that hold them."""
+    df = _segments(spark, sf)
+    changed = df.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 2500 == 7, "?").otherwise(F.col("o_orderstatus")))
+    return segments.verify(changed, segment_checksums(df, "segment_id", "o_orderstatus"), "segment_id", "o_orderstatus")
+
+
+@query("SELECT v AS word, CAST(code AS BIGINT) AS code FROM (VALUES ('N', 0), ('A', 1), ('', 2), ('R', 3)) t(v, code)")
+def dictionary_rebuild(spark, sf):
+    return stats.rebuild_dictionary(spark, ["N", "A", "", "R"], "word")
+
+
 # Snapshots
 
 _READERS = {"snapshot_read": (8, 1050), "snapshot_own_writes": (14, 1050), "snapshot_old_reader": (9999, 1003), "snapshot_after_abort": (15, 1097)}
@@ -287,6 +301,25 @@ def wal_stats(spark, sf):
     return recovery.log_stats(d.log(spark, sf, _BAD))
 
 
+_HOLES = "WITH l AS (SELECT o_orderkey AS lsn FROM orders WHERE o_orderkey % 1301 <> 1300), n AS (SELECT lsn, (SELECT min(o_orderkey) FROM orders) + row_number() OVER (ORDER BY lsn) - 1 AS want FROM l)"
+
+
+def _dense_log(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """A log with an LSN for each order, of which some are missing, and its first LSN."""
+    o = d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("lsn"))
+    return o.where(F.col("lsn") % 1301 != 1300).withColumn("bad", F.lit(False)), o.agg(F.min("lsn")).first()[0]
+
+
+@query(f"{_HOLES} SELECT lsn FROM n WHERE lsn = want")
+def wal_hole_prefix(spark, sf):
+    return recovery.valid_prefix(*_dense_log(spark, sf))
+
+
+@query(f"{_HOLES} SELECT count(*) FILTER (WHERE lsn = want) AS records_read, max(lsn) FILTER (WHERE lsn = want) AS last_valid_lsn, false AS corrupt_record, bool_or(lsn <> want) AS truncated_tail FROM n")
+def wal_hole_stats(spark, sf):
+    return recovery.log_stats(*_dense_log(spark, sf))
+
+
 @query(f"{d.log_sql()} SELECT txn_id FROM done")
 def committed_txns(spark, sf):
     return recovery.committed(recovery.valid_prefix(d.log(spark, sf)))

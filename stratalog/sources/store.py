@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
@@ -45,6 +47,23 @@ class Store:
         finally:
             s.close()
 
+    def sync(self, name: str) -> None:
+        """Forces the files of a directory that executors wrote to disk.
+
+        Done here for local files only: other file systems take a closed file as
+        durable or are told so by their own settings.
+        """
+        fs, p = self._at(name)
+        if fs.getUri().getScheme() != "file":
+            return
+        folder = fs.makeQualified(p).toUri().getPath()
+        for path in (*(os.path.join(folder, x) for x in os.listdir(folder)), folder):
+            handle = os.open(path, os.O_RDONLY)
+            try:
+                os.fsync(handle)
+            finally:
+                os.close(handle)
+
     def replace(self, name: str, text: str) -> None:
         """Readers see the old or the new content, never part of it."""
         fs, p = self._at(name)

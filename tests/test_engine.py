@@ -2,14 +2,20 @@
 
 import os
 import random
+import shutil
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalog.functions.crc32c import crc32c, crc32c_many
-from stratalog.operators import aggregate, compaction, mvcc, predicate
-from stratalog.schema import ROW_ID, ColumnType, PredicateOp, Reader, RecordType, delta_schema, TXN_SCHEMA, user_schema
+from stratalog.operators import aggregate, compaction, mvcc, predicate, stats
+from stratalog.plans import recovery
+from stratalog.schema import ROW_ID, ColumnType, Durability, PredicateOp, Reader, RecordType, delta_schema, TXN_SCHEMA, user_schema
+from stratalog.sources.segments import DamagedSegment, write_base
+from stratalog.streaming.compactor import BackgroundCompactor
 from stratalog.table import Database, Table
 
 ITEMS = user_schema(sku=ColumnType.STRING, quantity=ColumnType.INT32)
@@ -140,3 +146,164 @@ def test_recovery(spark, tmp_path):
     cut.insert(c, [("new", 3)])
     cut.commit(c)
     assert ("new", 3) in seen(Database(spark, root, ITEMS).snapshot())
+
+
+def parts(folder):
+    return sorted(f"{folder}/{f}" for f in os.listdir(folder) if f.startswith("part-"))
+
+
+def logged(spark, root, rows=50):
+    """A database with one committed batch and one more transaction; returns the folder of the batch."""
+    db = Database(spark, root, ITEMS)
+    a = db.begin()
+    db.insert(a, [(f"s{i}", i) for i in range(rows)])
+    db.commit(a)
+    b = db.begin()
+    db.insert(b, [("later", 1)])
+    db.commit(b)
+    return next(f"{root}/log/{d}" for d in sorted(os.listdir(f"{root}/log")) if len(parts(f"{root}/log/{d}")) > 1)
+
+
+def test_lost_part_of_a_batch_is_reported(spark, tmp_path):
+    root = str(tmp_path)
+    batch = logged(spark, root)
+    os.remove(parts(batch)[1])
+    db = Database(spark, root, ITEMS)
+    assert db.recovery["truncated_tail"] and not db.recovery["corrupt_record"]
+    assert db.recovery["committed_transactions"] == 0 and seen(db.snapshot()) == []
+    c = db.begin()
+    db.insert(c, [("new", 3)])
+    db.commit(c)
+    again = Database(spark, root, ITEMS)
+    assert not again.recovery["truncated_tail"] and seen(again.snapshot()) == [("new", 3)]
+
+
+def test_lost_append_is_reported(spark, tmp_path):
+    root = str(tmp_path)
+    batch = logged(spark, root)
+    shutil.rmtree(batch)
+    db = Database(spark, root, ITEMS)
+    assert db.recovery["truncated_tail"] and db.recovery["records_read"] == 1 and seen(db.snapshot()) == []
+
+
+def test_cut_record_is_torn(spark, tmp_path):
+    root = str(tmp_path)
+    logged(spark, root)
+    assert not Database(spark, root, ITEMS).recovery["truncated_tail"]
+    last = f"{root}/log/{sorted(os.listdir(f'{root}/log'))[-1]}"
+    os.remove(f"{last}/.record.json.crc")
+    text = open(f"{last}/record.json").read()
+    open(f"{last}/record.json", "w").write(text[:-5])
+    db = Database(spark, root, ITEMS)
+    assert db.recovery["truncated_tail"] and not db.recovery["corrupt_record"]
+    assert db.recovery["bytes_read"] > 0 and len(seen(db.snapshot())) == 50
+
+
+@pytest.mark.parametrize("lost", [[], [10], [1], [64], [65, 130], [199], [300]])
+def test_first_hole(spark, lost):
+    log = spark.createDataFrame([(i, False) for i in range(1, 200) if i not in lost], "lsn bigint, bad boolean")
+    want = min((x for x in lost if x < 199), default=None)
+    for span in (1, 8, 64, 1 << 16):
+        assert recovery.first_hole(log, 1, span).first()[0] == want
+    assert recovery.first_hole(log.where("lsn < 0"), 1).first()[0] is None
+
+
+def test_damaged_base_is_reported(spark, tmp_path):
+    root = str(tmp_path)
+    db = Database(spark, root, ITEMS)
+    a = db.begin()
+    db.insert(a, [(f"s{i}", i) for i in range(5000)])
+    db.commit(a)
+    db.checkpoint()
+    assert Database(spark, root, ITEMS, verify=True).recovery["checkpoint_found"]
+    folder = db.table.base_paths[0]
+    victim = parts(folder)[0]
+    data = bytearray(open(victim, "rb").read())
+    data[len(data) // 3] ^= 1
+    os.remove(f"{folder}/.{os.path.basename(victim)}.crc")
+    open(victim, "wb").write(data)
+    with pytest.raises(Exception):
+        Database(spark, root, ITEMS, verify=True)
+    os.remove(victim)
+    with pytest.raises(DamagedSegment):
+        Database(spark, root, ITEMS)
+
+
+def test_statistics_choose_files(spark, tmp_path):
+    user = user_schema(x=ColumnType.INT64, s=ColumnType.STRING)
+    t = Table(spark, str(tmp_path), user)
+    path = str(tmp_path / "made")
+    rows = spark.range(4000, numPartitions=4).selectExpr(f"id AS {ROW_ID}", "id * 2 AS x", "if(id % 5 = 0, NULL, concat('v', id div 1000)) AS s")
+    write_base(rows, path, user, rows_per_file=500)
+    t.base_paths, t.next_row_id = [path], 4000
+    assert len(t.snapshot().inputFiles()) == 8
+    for column, op, value, files in (("x", PredicateOp.GT, 6999, 1), ("x", PredicateOp.EQ, 10, 1), ("x", PredicateOp.LT, 0, 0), ("s", PredicateOp.GE, "v2", 4), ("x", PredicateOp.NE, 4, 8)):
+        got = t.scan(column, op, value)
+        assert seen(got) == seen(predicate.where_op(t.snapshot(), column, op, value))
+        assert len(got.inputFiles()) == files
+    a = t.begin()
+    assert t.update(a, 7, (99999, "new"))
+    assert t.cell(7, "s", a) == "new" and t.cell(7, "s") == "v0" and t.cell(5, "s") is None
+    assert seen(t.scan("x", PredicateOp.GT, 90000, a)) == [(99999, "new")]
+    with pytest.raises(KeyError):
+        t.cell(10**6, "x")
+
+
+def test_given_ids_and_background_compaction(spark, tmp_path):
+    t = Table(spark, str(tmp_path), ITEMS)
+    a = t.begin()
+    t.insert_with_ids(a, [(40, "a", 1), (7, "b", 2)])
+    first, _, _ = t.insert(a, [("c", 3)])
+    assert first == 41
+    t.commit(a)
+    with BackgroundCompactor(t, threshold=2, poll_seconds=0.05):
+        end = time.monotonic() + 60
+        while t.delta_paths and time.monotonic() < end:
+            time.sleep(0.1)
+    assert t.metrics.runs == 1 and t.base_rows() == 3 and not t.txns
+    assert seen(t.snapshot(row_ids=True)) == [(40, "a", 1), (41, "c", 3), (7, "b", 2)]
+
+
+def test_writers_in_threads_lose_nothing(spark, tmp_path):
+    t = Table(spark, str(tmp_path), ITEMS)
+    a = t.begin()
+    t.insert(a, [("hot", 0)])
+    t.commit(a)
+    won = []
+
+    def work(k):
+        b = t.begin()
+        t.insert(b, [(f"t{k}", k)])
+        won.append(t.update(b, 1, ("hot", k)))
+        t.commit(b)
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(1, 4)]
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join()
+    got = seen(t.snapshot())
+    assert sum(won) >= 1 and len(got) == 4 and sum(r[0] == "hot" for r in got) == 1
+
+
+@pytest.mark.parametrize("mode", list(Durability))
+def test_durability_modes_write_the_same_log(spark, tmp_path, mode):
+    root = str(tmp_path)
+    db = Database(spark, root, ITEMS, mode)
+    a = db.begin()
+    db.insert(a, [("a", 1), ("b", 2)])
+    db.commit(a)
+    assert not db.log.unsynced
+    assert seen(Database(spark, root, ITEMS).snapshot()) == [("a", 1), ("b", 2)]
+
+
+def test_rebuilt_dictionary_and_names(spark):
+    words = stats.rebuild_dictionary(spark, ["b", "a"], "w")
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "zz"), (4, "b")], "i int, w string")
+    assert seen(stats.encode(df, words, "w").select("i", "code")) == [(1, 1), (2, None), (3, None), (4, 0)]
+    for wrong in (["a", "a"], ["a", None]):
+        with pytest.raises(ValueError):
+            stats.rebuild_dictionary(spark, wrong, "w")
+    assert [x.name for x in RecordType] == ["BEGIN", "INSERT", "UPDATE", "DELETE", "COMMIT", "ABORT"]
+    assert [x.value for x in PredicateOp] == ["=", "!=", "<", "<=", ">", ">="]
+    assert aggregate.capabilities(spark)["cores"] >= 1
