@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, checkpoint, slices
+from .common import NOT_SPACE, U64, Words, checkpoint, slices
 
 SIZE = 4096
 END_ID = 2
@@ -75,23 +75,33 @@ class CachedTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.keys, self.place = np.zeros(0, U64), np.zeros(0, np.int64)  # hashes in order, and where in ``bound`` each one is
         self.ids, self.bound = np.zeros(1 << 20, np.uint32), np.zeros(CACHE_WORDS + 1, np.int64)
 
-    def _add(self, keys: list[int], ids: list[int], sizes: np.ndarray) -> None:
-        have, at = len(self.index), int(self.bound[len(self.index)])
+    def _add(self, keys: np.ndarray, ids: list[int], sizes: np.ndarray) -> None:
+        have, at = len(self.keys), int(self.bound[len(self.keys)])
         while at + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while have + len(keys) >= len(self.bound):
             self.bound = np.concatenate([self.bound, np.zeros_like(self.bound)])
         self.ids[at : at + len(ids)] = ids
         self.bound[have + 1 : have + 1 + len(keys)] = at + np.cumsum(sizes)
-        self.index.update(zip(keys, range(have, have + len(keys)), strict=True))
-
-    def _learn(self, keys: list[int], words: list[bytes]) -> None:
+        order = np.argsort(keys)
+        where = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, where, keys[order])
+        self.place = np.insert(self.place, where, have + order)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys, -1 of those that are not here."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.place[at], -1)
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         """Other than plain parts are encoded as runs; a token belongs to the part in which it starts."""
         plain, rest, ids, sizes = [], [], [], []
-        for k, w in zip(keys, words, strict=True):
+        for k, w in enumerate(words):
             if _PLAIN.fullmatch(t := w.decode()):
                 plain.append(k)
                 coded = self.model.tokenize(w.decode("latin-1").translate(self.alphabet))
@@ -99,28 +109,30 @@ class CachedTokenizer:
                 ids += [x.id for x in coded]
             else:
                 rest.append((k, t))
-        if plain:
-            self._add(plain, ids, np.array(sizes))
+        known = [keys[np.array(plain, np.int64)]]
+        sizes = [np.array(sizes, np.int64)]
         for i in range(0, len(rest), RUN_WORDS):
             part = rest[i : i + RUN_WORDS]
             starts = np.cumsum([0, *(len(t) + 1 for _, t in part[:-1])])
             e = self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False)
             word = np.searchsorted(starts, np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids)), "right") - 1
-            self._add([k for k, _ in part], e.ids, np.bincount(word, minlength=len(part)))
+            known.append(keys[[k for k, _ in part]])
+            sizes.append(np.bincount(word, minlength=len(part)))
+            ids += e.ids
+        self._add(np.concatenate(known), ids, np.concatenate(sizes))
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         w = Parts(column)
-        hashes, one, part = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        k = list(map(self.index.get, keys))
-        if None in k:
-            missing = [i for i, x in enumerate(k) if x is None]
-            if len(self.index) + len(missing) > CACHE_WORDS:
+        keys, one, part = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        k = self._find(keys)
+        missing = np.flatnonzero(k < 0)
+        if len(missing):
+            if len(self.keys) + len(missing) > CACHE_WORDS:
                 self._clear()
-                missing = range(len(keys))
-            self._learn([keys[i] for i in missing], [w.text(one[i]) for i in missing])
-            k = list(map(self.index.get, keys))
-        k = np.array(k, np.int64)[part]
+                missing = np.arange(len(keys))
+            self._learn(keys[missing], [w.text(i) for i in one[missing].tolist()])
+            k = self._find(keys)
+        k = k[part]
         lo = self.bound[k]
         size = self.bound[k + 1] - lo
         total = np.concatenate([[0], np.cumsum(size)])
