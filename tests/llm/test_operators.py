@@ -410,3 +410,26 @@ def test_decontamination(spark, odd, empty):
     for limit in (5, 10_000):
         assert Counter(tuple(x)[:6] for x in decontaminate.contamination(df, bench, limit).collect()) == want
     assert decontaminate.decontaminate(odd, bench).columns == odd.columns and decontaminate.contamination(empty, bench).count() == 0
+
+
+def test_places_against_lists():
+    r = random.Random(1)
+    for _ in range(60):
+        n = r.randint(1, 40)
+        tree, plain = passages.Places(n), [passages._NONE] * (n + 1)
+        for _ in range(60):
+            at = r.randint(1, n)
+            plain[at] = passages._NONE if r.random() < 0.4 else (r.random(), at)
+            tree.put(at, plain[at])
+            lo, hi = r.randint(1, n), r.randint(0, n)
+            assert tree.most(lo, hi) == max(plain[lo : hi + 1], default=passages._NONE)
+
+
+def test_passages_of_a_text_that_repeats_itself(spark):
+    r = random.Random(4)
+    again = " ".join(["so on"] * 300)
+    prose = [" ".join(f"w{r.randint(0, 9999)}" for _ in range(60)) for _ in range(3)]
+    docs = spark.createDataFrame([(1, f"{prose[0]} {again}"), (2, f"{prose[1]} {again}"), (3, prose[2])], "doc_id bigint, text string")
+    got = passages.passages(docs).collect()
+    assert {(x.doc_id, x.other_id) for x in got} == {(1, 2), (2, 1)} and len(got) < 20
+    assert max(x.n_words for x in got) == 600
