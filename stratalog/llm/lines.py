@@ -246,6 +246,20 @@ def edit_alike(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     return distance <= limit
 
 
+def may_be_alike(values: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Of the texts of a group, whether one may be alike others: by lengths, and by how often bytes (in classes) occur, as an edit changes one byte more and one less."""
+    size = np.array([len(x) for x in values])
+    count = np.stack([np.bincount(np.frombuffer(x, np.uint8) & 31, minlength=32) for x in values]).astype(np.int32)
+
+    def may(r: int, at: np.ndarray) -> np.ndarray:
+        most = np.maximum(size[at], size[r])
+        limit = np.floor((1.0 - SIMILARITY) * most + 1e-9)
+        unlike = count[at] - count[r]
+        return (np.maximum(np.maximum(unlike, 0).sum(axis=1), np.maximum(-unlike, 0).sum(axis=1)) <= limit) & (most - np.minimum(size[at], size[r]) <= limit)
+
+    return may
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
     """``(key, doc_id, number, node, buckets)`` of each line; key tells rows apart. Lines repeated within a slice have null buckets."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -288,7 +302,7 @@ def drops(docs: DataFrame) -> DataFrame:
 
         return rows.mapInArrow(run, "node bigint, f binary").dropDuplicates(["node"])
 
-    labels = cluster(seen.select("node", F.explode("buckets").alias("bucket")).select("bucket", "node"), features, edit_alike)
+    labels = cluster(seen.select("node", F.explode("buckets").alias("bucket")).select("bucket", "node"), features, edit_alike, screen=may_be_alike)
     told = each.join(labels, "node", "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "node"))
     stays = told.groupBy("label").agg(F.min("kept").alias("stays"))
     fate = checkpoint(told.select("node", "label").join(stays, "label").select("node", "stays"))

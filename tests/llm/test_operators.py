@@ -136,6 +136,48 @@ def test_cluster_of_a_hot_bucket_against_all_pairs(spark):
     assert {n: forest.root(n) for n in forest.up} == got
 
 
+def test_cluster_of_a_bucket_of_pairs(spark, monkeypatch):
+    """Each node of a large bucket is alike one other, which no chosen node tells."""
+    monkeypatch.setattr(graph, "CHUNK", 50 * graph.ROW)  # so that the bucket is met in parts
+    nodes = list(range(200))
+    random.Random(2).shuffle(nodes)
+    members = spark.createDataFrame([(b, n) for b in (32, 65) for n in nodes] + [(98, n) for n in nodes[:40]], "bucket bigint, node bigint")
+    held = spark.createDataFrame([(n, str(n).encode()) for n in nodes], "node bigint, f binary")
+    near = lambda a, b: abs(int(a) - int(b)) == 100
+    got = {x["node"]: x["label"] for x in graph.cluster(members, lambda w: held.join(w, "node"), near).collect()}
+    assert got == {n: n % 100 for n in nodes}
+
+
+def test_shared_buckets_across_batches(spark):
+    r = random.Random(4)
+    rows = [(r.randrange(40) ** 2, r.randrange(60)) for _ in range(400)]
+    by = {b: {n for c, n in rows if c == b} for b, _ in rows}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = Counter(tuple(x) for x in graph._shared(spark.createDataFrame(rows, "bucket bigint, node bigint")).collect())
+            assert got == Counter((b, n, min(of)) for b, of in by.items() if len(of) > 1 for n in of)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_line_screen_loses_no_alike_pair():
+    r = random.Random(8)
+    texts = []
+    for _ in range(150):
+        a = "".join(r.choice("abcde f") for _ in range(r.randrange(1, 60)))
+        b = list(a)
+        for _ in range(r.randrange(0, max(2, len(a) // 4))):
+            b[r.randrange(len(b)) :][:1] = []
+            b.insert(r.randrange(len(b) + 1), r.choice("abcdefgh"))
+        texts += [a.encode(), "".join(b)[: r.choice((80, len(a)))].encode() or b"a"]
+    may, all_ = lines.may_be_alike(texts), np.arange(len(texts))
+    for i, x in enumerate(texts):
+        passed = may(i, all_)
+        assert all(passed[j] or not lines.edit_alike(x, y) for j, y in enumerate(texts))
+
+
 def test_line_dedup(spark, odd, empty):
     long = prose(1, 40)
     docs = spark.createDataFrame([(1, f"First {prose(2, 9)}\n{long}\n\n--"), (2, f"{long.upper()}!\n{prose(3, 9)}\n--"), (3, long.replace(long.split()[7], long.split()[7] + "x"))], ODD_SCHEMA)
