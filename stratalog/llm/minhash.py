@@ -3,11 +3,14 @@
 Weights are TF-IDF of five-word shingles; a text of fewer words, but not none, is
 one shingle. Document frequencies come from a counting sketch over all documents
 with a fixed number of counters, less the sketch's mean noise. ``BANDS`` x ``ROWS``
-samples are banded; members of a bucket are verified by weighted Jaccard similarity
-of ``THRESHOLD`` or more over whole texts, and links make classes. Before texts are
-read for that, pairs are screened by their weights and by four bits of each sample:
-of two texts at the threshold, ``UNLIKE`` or more of the samples differ there in
-fewer than one pair of 10,000.
+samples are banded. The more copies a text has, the less its shingles weigh beside
+those of an edit, so near copies within large groups fall under any threshold of such
+weights. Hence ``PLAIN`` further bands are sampled by term frequencies alone, which no
+other document changes. Members of a bucket are verified by weighted Jaccard similarity
+of ``THRESHOLD`` or more over whole texts, by TF-IDF or by term frequencies, and links
+make classes. Before texts are read for that, pairs are screened by their weights and
+by four bits of each sample: of two texts at the threshold, ``UNLIKE`` or more of the
+samples of either kind differ there in fewer than one pair of 10,000.
 
 The randomness of a sample (two Gammas and a uniform) is taken from a table of
 ``TABLE`` triples by the shingle's hash; shingles that meet there are told apart by
@@ -21,7 +24,7 @@ least id of its documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +36,16 @@ from .graph import SLOTS, cluster
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
+PLAIN = 8
 THRESHOLD = 0.8
 SKETCH = 1 << 20
 TABLE_BITS = 14
 TABLE = 1 << TABLE_BITS
 HASH_BITS = 48
-UNLIKE = 26
+#: Of the samples by TF-IDF, and of those by term frequencies.
+UNLIKE = (26, 17)
+#: 64-bit words with four bits of each sample.
+LANES = (BANDS * ROWS // 16, PLAIN * ROWS // 16)
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,21 +108,22 @@ class Sampler:
 
     def __init__(self, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
-        k = BANDS * ROWS
+        k = (BANDS + PLAIN) * ROWS
         r = rng.gamma(2.0, 1.0, (k, TABLE)).astype(np.float32)
         log_c = np.log(rng.gamma(2.0, 1.0, (k, TABLE))).astype(np.float32)
         beta = rng.random((k, TABLE)).astype(np.float32)
         self.fields = np.stack([r, 1 / r, beta, log_c - r + r * beta], axis=2)  # one look-up fetches all four
         self.turn = rng.integers(1, 1 << 63, k, dtype=np.int64).astype(U64) | U64(1)
 
-    def bands(self, s: np.ndarray, weight: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Band hashes (texts x BANDS) of texts that all have a shingle, the band's number in the lowest bits, and four bits of each sample (texts x 4)."""
-        log_w = np.log(weight).astype(np.float32)
+    def bands(self, s: np.ndarray, tf: np.ndarray, weight: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Band hashes (texts x BANDS + PLAIN) of texts that all have a shingle, the band's number in the lowest bits, and four bits of each sample (texts x LANES)."""
+        by_kind = [np.log(x).astype(np.float32) for x in (weight, tf)]
         sizes = np.diff(first)
-        out = np.zeros((len(sizes), BANDS), U64)
-        bits = np.zeros((len(sizes), BANDS * ROWS // 16), U64)
+        out = np.zeros((len(sizes), BANDS + PLAIN), U64)
+        bits = np.zeros((len(sizes), sum(LANES)), U64)
         h = mix(s)
-        for k in range(BANDS * ROWS):
+        for k in range((BANDS + PLAIN) * ROWS):
+            log_w = by_kind[k >= BANDS * ROWS]
             own = h * self.turn[k]
             x = self.fields[k].take((own >> U64(64 - TABLE_BITS)).view(np.int64), axis=0, mode="clip")
             t = np.floor(log_w * x[:, 1] + x[:, 2])
@@ -130,26 +138,48 @@ class Sampler:
             sample = mix(s[tie] + t[tie].astype(np.int64).astype(U64) * U64(0x9E3779B97F4A7C15))
             out[:, k // ROWS] = out[:, k // ROWS] * U64(0xD6E8FEB86659FD93) + sample
             bits[:, k // 16] |= (sample >> U64(60)) << U64(4 * (k % 16))
-        return mix(out + np.arange(BANDS, dtype=U64) * U64(0x9E3779B97F4A7C15)) & ~U64(SLOTS - 1) | np.arange(BANDS, dtype=U64), bits
+        number = np.arange(BANDS + PLAIN, dtype=U64)
+        return mix(out + number * U64(0x9E3779B97F4A7C15)) & ~U64(SLOTS - 1) | number, bits
 
 
-def _feature(s: np.ndarray, weight: np.ndarray) -> bytes:
-    return s.tobytes() + weight.astype(np.float32).tobytes()
+def _feature(s: np.ndarray, tf: np.ndarray, level: np.ndarray) -> bytes:
+    return s.tobytes() + tf.astype(np.uint32).tobytes() + level.tobytes()
 
 
-def weighted_jaccard(a: bytes, b: bytes) -> float:
-    n, m = len(a) // 12, len(b) // 12
-    sa, wa = np.frombuffer(a, U64, n), np.frombuffer(a, np.float32, n, 8 * n)
-    sb, wb = np.frombuffer(b, U64, m), np.frombuffer(b, np.float32, m, 8 * m)
-    k = np.minimum(np.searchsorted(sa, sb), n - 1)
+def similarity(a: bytes, b: bytes) -> float:
+    """The greater of the weighted Jaccard similarities by TF-IDF and by term frequencies."""
+    (sa, ta, la), (sb, tb, lb) = ((np.frombuffer(x, U64, n), np.frombuffer(x, np.uint32, n, 8 * n).astype(np.int64), np.frombuffer(x, np.uint8, n, 12 * n)) for x, n in ((a, len(a) // 13), (b, len(b) // 13)))
+    k = np.minimum(np.searchsorted(sa, sb), len(sa) - 1)
     hit = sa[k] == sb
-    low = float(np.minimum(wa[k[hit]], wb[hit]).sum(dtype=np.float64))
-    return low / (float(wa.sum(dtype=np.float64)) + float(wb.sum(dtype=np.float64)) - low)
+    both = np.minimum(ta[k[hit]], tb[hit])
+    tf, tf_idf = int(both.sum()), int((both * lb[hit]).sum())  # a shingle's level is the same in all texts
+    return max(tf / (int(ta.sum() + tb.sum()) - tf), tf_idf / (int((ta * la).sum() + (tb * lb).sum()) - tf_idf))
 
 
-def _weights(column: pa.Array, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    s, tf, first = shingles(column)
-    return s, tf * (idf.of(s) / 4.0), first
+def _sketches(bits: np.ndarray, *totals: np.ndarray) -> list[bytes]:
+    """Of each text: its bits and its two total weights."""
+    return [x.tobytes() for x in np.concatenate([bits, np.stack([t.astype(np.float64) for t in totals], axis=1).view(U64)], axis=1)]
+
+
+def _matrix(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), U64).reshape(len(values), sum(LANES) + 2)
+
+
+def _may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the texts of sketches, row by row, may be alike by one of the two kinds of weights."""
+    z = x[..., : sum(LANES)] ^ y[..., : sum(LANES)]
+    z |= z >> U64(2)
+    z = (z | z >> U64(1)) & U64(0x1111111111111111)
+    n = np.bitwise_count(z)
+    u, v = (np.ascontiguousarray(m[..., sum(LANES) :]).view(np.float64) for m in (x, y))
+    # The lighter of two alike texts has at least THRESHOLD of the other's weight (less what sums of floats may differ by).
+    heavy = np.minimum(u, v) >= (THRESHOLD - 1e-6) * np.maximum(u, v)
+    return (n[..., : LANES[0]].sum(axis=-1) < UNLIKE[0]) & heavy[..., 0] | (n[..., LANES[0] :].sum(axis=-1) < UNLIKE[1]) & heavy[..., 1]
+
+
+def may_be_alike(values: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+    m = _matrix(values)
+    return lambda r, at: _may(m[at], m[r])
 
 
 def _key(docs: DataFrame) -> F.Column:
@@ -157,17 +187,6 @@ def _key(docs: DataFrame) -> F.Column:
     return F.xxhash64(docs["doc_id"], docs["text"].cast("string"))
 
 
-def _differ(a: str, b: str) -> F.Column:
-    """How many groups of four bits differ."""
-    out = F.lit(0)
-    for i in range(BANDS * ROWS // 16):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
-        out = out + F.bit_count(x)
-    return out
-
-
 def _told(docs: DataFrame) -> DataFrame:
     """``(key, doc_id, g, alone)`` of every row: its class, and whether it has neither id nor words, so that others of its key are no copies."""
     sc = docs.sparkSession.sparkContext
@@ -182,31 +201,35 @@ def _told(docs: DataFrame) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, idf = Sampler(), weigher()
         for b in slices(batches, "text", 1 << 20):
-            s, w, first = _weights(b.column(3), idf)
+            s, tf, first = shingles(b.column(3))
+            w = tf * (idf.of(s) / 4.0)
             full = np.flatnonzero(np.diff(first))
             bands: list = [None] * b.num_rows
-            bits = np.zeros((b.num_rows, BANDS * ROWS // 16), U64)
-            total = np.add.reduceat(np.append(w, 0.0), first[:-1]) if len(w) else np.zeros(b.num_rows)  # read only where there are bands
+            sketches: list = [None] * b.num_rows
             if len(full):
-                found, bits[full] = sampler.bands(s, w, np.append(first[full], first[-1]))
-                for d, x in zip(full.tolist(), found.view(np.int64).tolist(), strict=True):
-                    bands[d] = x
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(bands, pa.list_(pa.int64())), pa.array(list(bits.view(np.int64)), pa.list_(pa.int64())), pa.array(total)], names=["key", "doc_id", "node", "bands", "bits", "weight"])
+                begin = np.append(first[full], first[-1])
+                found, bits = sampler.bands(s, tf, w, begin)
+                for d, x, y in zip(full.tolist(), found.view(np.int64).tolist(), _sketches(bits, *(np.add.reduceat(v, begin[:-1]) for v in (w, tf))), strict=True):
+                    bands[d], sketches[d] = x, y
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["key", "doc_id", "node", "bands", "sketch"])
 
     kind = dict(docs.dtypes)["doc_id"]
     text = F.col("text").cast("string")
     rows = docs.select(_key(docs).alias("key"), "doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("node"), text.alias("text"))
     # Copies share a node; one of them stands for it.
-    each = checkpoint(rows.mapInArrow(sketch, f"key bigint, doc_id {kind}, node bigint, bands array<bigint>, bits array<bigint>, weight double"))
-    stands = checkpoint(each.where("bands is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("weight").alias("weight")))
+    each = checkpoint(rows.mapInArrow(sketch, f"key bigint, doc_id {kind}, node bigint, bands array<bigint>, sketch binary"))
+    stands = checkpoint(each.where("bands is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     members = stands.select("node", F.explode("bands").alias("bucket")).select("bucket", "node")
 
-    def screen(pairs: DataFrame) -> DataFrame:
-        one, two = (stands.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("weight").alias(f"weight_{x}")) for x in "ab")
-        j = pairs.join(one, "a").join(two, "b")
-        # The lighter of two alike texts has at least THRESHOLD of the other's weight (less what float32 sums may differ by).
-        heavy = F.least("weight_a", "weight_b") >= (THRESHOLD - 1e-4) * F.greatest("weight_a", "weight_b")
-        return j.where(heavy & (_differ("bits_a", "bits_b") < UNLIKE)).select("a", "b")
+    def worth(pairs: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    keep = _may(*(_matrix(b.column(i).to_pylist()) for i in (2, 3)))
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+        one, two = (stands.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
 
     def features(nodes: DataFrame) -> DataFrame:
         wanted = nodes.join(stands.select("node", "key"), "node")
@@ -215,13 +238,14 @@ def _told(docs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idf = weigher()
             for b in slices(batches, "text", 1 << 20):
-                s, w, first = _weights(b.column(1), idf)
-                f = [_feature(s[lo:hi], w[lo:hi]) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                s, tf, first = shingles(b.column(1))
+                level = idf.of(s)
+                f = [_feature(s[lo:hi], tf[lo:hi], level[lo:hi]) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.binary())], names=["node", "f"])
 
         return found.mapInArrow(run, "node bigint, f binary").dropDuplicates(["node"])
 
-    labels = cluster(members, features, lambda a, b: weighted_jaccard(a, b) >= THRESHOLD, screen)
+    labels = cluster(members, features, lambda a, b: similarity(a, b) >= THRESHOLD, worth, may_be_alike, stands.select("node", "sketch"))
     group = F.when(F.col("bands").isNull(), F.concat(F.lit("-"), F.col("key").cast("string"))).otherwise(F.coalesce("label", "node").cast("string"))
     alone = F.col("bands").isNull() & F.col("doc_id").isNull()
     out = checkpoint(each.join(labels, "node", "left").select("key", "doc_id", group.alias("g"), alone.alias("alone")))

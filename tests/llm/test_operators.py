@@ -312,6 +312,32 @@ def test_near_duplicates(spark, odd, empty):
     assert minhash.first_of_class(odd).columns == odd.columns and minhash.first_of_class(odd).count() == len(ODD) - 1
 
 
+def test_near_copies_in_a_large_group(spark):
+    """Shingles that most documents have weigh little, edits much: by TF-IDF these copies are unlike."""
+    base = prose(1, 400).split()
+    docs = []
+    for i in range(120):
+        w, r = list(base), random.Random(i)
+        for at in r.sample(range(400), 4):
+            w[at] = f"e{i}x{at}"
+        docs.append((i, " ".join(w)))
+    docs += [(1000 + i, prose(50 + i, 300)) for i in range(20)]
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in minhash.classes(spark.createDataFrame(docs, ODD_SCHEMA)).collect()}
+    alike = [(i, k) for i in range(120) for k in range(i) if plain_jaccard(docs[i][1], docs[k][1]) >= 0.8]
+    forest = graph.Forest()
+    for i, k in alike:
+        forest.link(i, k)
+    together = Counter(forest.root(i) for i in range(120))
+    found = sum(got[i][0] == got[k][0] for i, k in alike)
+    assert alike and found >= 0.97 * len(alike) and max(n for _, n in got.values()) >= max(together.values()) * 0.97
+    assert all(got[i] == (i, 1) for i in range(1000, 1020))
+
+
+def plain_jaccard(x, y):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x.split(), y.split()))
+    return len(x & y) / len(x | y)
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     a, b, c = (prose(700 + i, 200).split() for i in range(3))
     near = " ".join([*a[:100], "new", *a[100:]])
