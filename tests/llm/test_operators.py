@@ -279,6 +279,53 @@ def test_passages_whose_seeds_lie_apart(spark):
         assert {(r["doc_id"], r["start_word"], r["n_words"], r["other_id"]) for r in got} == {(100, 40, 60, 101), (101, 40, 60, 100)}
 
 
+def test_passages_of_many_holders_meet(spark):
+    a = prose(700, 30)  # in all pairs, so that no seed of their passages is of few holders
+    docs = [(i, f"{a} {prose(830 + i, 40)}") for i in range(12)]
+    for g in range(1, 5):
+        m = prose(700 + g, 30)
+        docs += [(100 * g + i, f"{prose(730 + 20 * g + i, 30)} {m} {prose(1730 + 20 * g + i, 30)}") for i in range(12)]
+        docs += [(100 * g + 50 + i, f"{prose(2730 + 20 * g + i, 40)} {a} {m} {prose(3730 + 20 * g + i, 40)}") for i in range(2)]
+    got = passages.passages(spark.createDataFrame(docs, ODD_SCHEMA)).collect()
+    assert {(r["doc_id"], r["start_word"], r["n_words"], r["other_id"]) for r in got} == {(100 * g + 50 + i, 40, 60, 100 * g + 51 - i) for g in range(1, 5) for i in range(2)}
+
+
+def test_passages_tell_classes(spark):
+    p, q = prose(710, 60), prose(711, 60)
+    docs = [(i, f"{prose(4000 + i, 30)} {p if i < 20 else q} {prose(4100 + i, 30)}") for i in range(32)]
+    got = passages.report(spark.createDataFrame(docs, ODD_SCHEMA)).collect()
+    assert {(r["doc_id"], r["n_texts"]) for r in got} == {(i, 19 if i < 20 else 11) for i in range(32)}
+    assert [len({r["class_id"] for r in got if (r["doc_id"] < 20) == first}) for first in (True, False)] == [1, 1] and len({r["class_id"] for r in got}) == 2
+
+
+def test_passages_screen_loses_none():
+    r = random.Random(5)
+    core = [r.randrange(1, 40) for _ in range(30)]
+    rows = []
+    for _ in range(60):  # the seed's words at MARGIN, equal words around them, and stray ones
+        w = [r.randrange(1, 4000) for _ in range(2 * passages.MARGIN + passages.K)]
+        lo, hi = r.randrange(0, 12), r.randrange(20, 31)
+        w[passages.MARGIN - 11 + lo : passages.MARGIN - 11 + hi] = core[lo:hi]
+        w[passages.MARGIN : passages.MARGIN + passages.K] = core[11:19]
+        for _ in range(r.randrange(40)):
+            k = r.choice([*range(passages.MARGIN - 11), *range(passages.MARGIN + 19, len(w))])
+            w[k] = r.randrange(1, 60)
+        rows.append(w)
+    around = np.array(rows, np.uint32)
+    two = [np.array([7, 8])] * len(rows)
+    may = passages.unlike(around, two, [np.array([0, 1], np.int32)] * len(rows))
+    told = Counter()
+    for i in range(len(rows)):
+        at = np.array([k for k in range(len(rows)) if k != i])
+        maybe, behind, ahead = may(i, at)
+        for k, ok, left, right in zip(at.tolist(), maybe.tolist(), behind.tolist(), ahead.tolist(), strict=True):
+            (x, _, n), *rest = passages.align(around[i], around[k], [(passages.MARGIN,) * 2])
+            run = (x, n) == (passages.MARGIN - left, passages.K + left + right) and not rest
+            assert ok or run
+            told[ok] += 1
+    assert min(told[True], told[False]) > 30
+
+
 def test_passages_name_all_others(spark):
     p, q = prose(620, 60), prose(621, 60)
     docs = [(1, f"{p} {prose(622, 40)} {p} {prose(623, 100)} {q}"), (2, f"{prose(624, 30)} {p}"), (3, f"{q} {prose(625, 30)} {p}")]
