@@ -280,14 +280,14 @@ def test_passages_whose_seeds_lie_apart(spark):
 
 
 def test_passages_of_many_holders_meet(spark):
-    a = prose(700, 30)  # in all pairs, so that no seed of their passages is of few holders
+    a = prose(700, 30)  # in all pairs, and the edit leaves no run of 40 words: no seed of a passage is of few holders
     docs = [(i, f"{a} {prose(830 + i, 40)}") for i in range(12)]
     for g in range(1, 5):
         m = prose(700 + g, 30)
         docs += [(100 * g + i, f"{prose(730 + 20 * g + i, 30)} {m} {prose(1730 + 20 * g + i, 30)}") for i in range(12)]
-        docs += [(100 * g + 50 + i, f"{prose(2730 + 20 * g + i, 40)} {a} {m} {prose(3730 + 20 * g + i, 40)}") for i in range(2)]
+        docs += [(100 * g + 50 + i, f"{prose(2730 + 20 * g + i, 40)} {a} edit{i} {m} {prose(3730 + 20 * g + i, 40)}") for i in range(2)]
     got = passages.passages(spark.createDataFrame(docs, ODD_SCHEMA)).collect()
-    assert {(r["doc_id"], r["start_word"], r["n_words"], r["other_id"]) for r in got} == {(100 * g + 50 + i, 40, 60, 100 * g + 51 - i) for g in range(1, 5) for i in range(2)}
+    assert {(r["doc_id"], r["start_word"], r["n_words"], r["other_id"]) for r in got} == {(100 * g + 50 + i, 40, 61, 100 * g + 51 - i) for g in range(1, 5) for i in range(2)}
 
 
 def test_passages_tell_classes(spark):
