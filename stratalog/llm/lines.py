@@ -4,17 +4,20 @@ Lines are normalised (ASCII lower case, other than word characters as single
 spaces) and equal ones counted once. A line's features are its distinct words, for
 short lines its distinct runs of ``GRAM`` bytes. They are dealt by their hash into
 groups of ``GROUP`` to twice as many, and the SimHash is made of a block for each
-group: the majority of each bit over the group's features. So an edit changes the
-blocks of the groups that its features are in and leaves the others whole, which is
-the pigeonhole: lines that share any block meet in its bucket. A line has up to
-``BLOCKS`` blocks, out of several ways to deal where it has fewer groups; near the
-length at which the number of groups changes it has those of both numbers. Groups
-of under ``LEAST`` features have no bucket. Lines that meet are verified by edit
+group: the majority of each bit over the group's features, those of groups of under
+``LEAST`` features with the line's next ones. So an edit changes the blocks of the
+groups that its features are in and leaves the others whole, which is
+the pigeonhole: lines that share any block meet in its bucket. Every group of every
+line has one. Lines of few groups are dealt in several ways, for ``BLOCKS`` or more; near the
+length at which the number of groups changes a line has those of both numbers.
+Lines of up to ``TINY`` bytes, whose one or two groups an edit may change all, meet by
+what is left of them without any bytes that an alike one may lack, so that all of their
+pairs are found. Lines that meet are verified by edit
 similarity of ``SIMILARITY`` or more over whole lines, and links make groups. Of each
 group the occurrence with the least (document, line) stays, in all documents
 together; other occurrences go.
 
-Pairs whose edits reach all of their groups are not found. Normalised lines are told
+Of longer lines, pairs whose edits reach all of their groups are not found. Normalised lines are told
 apart by a 64-bit hash, rows by one of id and text.
 
 Lines without a word character always stay. Null text stays null. A document all
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Words, checkpoint, discard, mix, packed, slices
-from .graph import SLOTS, cluster
+from .graph import Dealer, cluster
 
 SIMILARITY = 0.8
-#: Of words, and of runs of bytes.
+#: Blocks that a line has at least, if it has two groups or more, of words and of runs of bytes.
 BLOCKS = (7, 16)
 GROUP = 5
+#: Features that a block is made of at least, if the line has so many.
 LEAST = (5, 4)
+#: Bytes of lines whose alike ones are all found.
+TINY = 14
 #: Lines of fewer words have features of so many bytes.
 SHORT, GRAM = 12, 4
 RESYNC = 8
@@ -62,7 +69,8 @@ class Lines:
         w = Words(column, _WORD)
         self.words = w
         line = np.searchsorted(lines.start, w.start, "right") - 1
-        self.used, first = np.unique(line, return_index=True)
+        first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else line
+        self.used = line[first]
         self.first = np.append(first, len(line))
         self.doc = np.searchsorted(lines.first, self.used, "right") - 1
         # Line numbers count newlines, so empty lines have numbers too.
@@ -76,6 +84,12 @@ class Lines:
 
     def buckets(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bucket numbers of the picked lines (ascending), and where those of each begin. ``hashes`` comes first."""
+        line, key = self.members(pick)
+        order = np.argsort(line, kind="stable")
+        return key[order], np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(pick)))])
+
+    def members(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(line, bucket)``, lines by their place in ``pick``."""
         n = np.diff(self.first)[pick]
         long = np.flatnonzero(n >= SHORT)
         short = np.flatnonzero(n < SHORT * 1.25)  # alike lines have so many words at most where one has SHORT
@@ -83,9 +97,22 @@ class Lines:
         found = _with_both(np.repeat(long, n[long]), self._h[w], len(pick), 1)
         line, h = self._grams(pick[short])
         found += _with_both(short[line], h, len(pick), 2)
+        found.append(self._tiny(pick, short))
         line, key = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(line, kind="stable")
-        return key[order], np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(pick)))])
+        return line, key
+
+    def _tiny(self, pick: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(line, bucket)`` of the lines of up to ``TINY`` bytes: what is left of each without any bytes that an alike one may not have."""
+        w = self.words
+        upto = np.append(0, np.cumsum(w.end - w.start + 1))
+        size = upto[self.first[pick[short] + 1]] - upto[self.first[pick[short]]] - 1
+        at, keys = [], []
+        for i, n in zip(short[size <= TINY].tolist(), size[size <= TINY].tolist(), strict=True):
+            most = min(TINY, int(n / SIMILARITY + 1e-9))
+            every = _less(self.text(pick[i]), int((1.0 - SIMILARITY) * most + 1e-9))
+            at += [i] * len(every)
+            keys += [int.from_bytes(blake2b(x, digest_size=8).digest(), "little") for x in every]
+        return np.array(at, np.int64), np.array(keys, U64)
 
     def _grams(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of bytes of the normalised picked lines, with each one's place in ``pick``."""
@@ -149,33 +176,60 @@ def _groups(size: np.ndarray) -> np.ndarray:
 
 
 def _blocks(line: np.ndarray, h: np.ndarray, groups: np.ndarray, mark: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(line, bucket)``; ``line`` of each feature, ascending; ``groups`` of each line."""
-    blocks = BLOCKS[mark - 1]
-    slots = []
+    """``(line, bucket)`` of every group in every way to deal; ``line`` of each feature, ascending; ``groups`` of each line."""
+    found = []
     m = groups[line]
-    for way in range(blocks):
-        use = (way * m < blocks) & ((m > 1) | (way == 0))
+    for way in range(BLOCKS[mark - 1]):
+        use = (way * m < BLOCKS[mark - 1]) & ((m > 1) | (way == 0))
         if not use.any():
             break
-        x, of = h[use], m[use]
-        slot = way * of + (mix(x + U64(int(_GOLDEN) * (way + 1) % (1 << 64))) & (of - 1).astype(U64)).astype(np.int64)
-        kept = slot < blocks
-        slots.append((line[use][kept] * SLOTS + slot[kept]).astype(U64) << U64(32) | x[kept] >> U64(32))
-    if not slots:
+        x, of = (h, m) if use.all() else (h[use], m[use])
+        slot = mix(x + U64(int(_GOLDEN) * (way + 1) % (1 << 64))) & (of - 1).astype(U64)
+        first = np.cumsum(groups) - groups
+        entry = np.sort((first[line if len(x) == len(h) else line[use]].astype(U64) + slot) << U64(32) | x >> U64(32))
+        at = (entry >> U64(32)).astype(np.int64)
+        begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        lanes = np.empty((len(begin), 4), U64)
+        octets = entry.view(np.uint8).reshape(-1, 8)
+        for k in range(4):
+            lanes[:, k] = np.add.reduceat(_SPREAD[octets[:, k]], begin)
+        size = np.diff(np.append(begin, len(at)))
+        at = at[begin]
+        owner = np.repeat(np.arange(len(groups)), groups)[at]
+        lanes, size = _filled(owner, lanes, size, LEAST[mark - 1])
+        bits = np.packbits(lanes.view(np.uint8).reshape(len(begin), 32) * np.uint16(2) > size[:, None], axis=1).view(np.uint32)[:, 0]
+        place = (groups[owner] * 64 + way).astype(U64) << U64(32) | (at - first[owner]).astype(U64) << U64(2) | U64(mark)
+        found.append((owner, mix(bits.astype(U64) + _GOLDEN * place)))
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    entry = np.sort(np.concatenate(slots))
-    slot = (entry >> U64(32)).astype(np.int64)
-    begin = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
-    size = np.diff(np.append(begin, len(slot)))
-    lanes = np.empty((len(begin), 4), U64)
-    for k in range(4):
-        lanes[:, k] = np.add.reduceat(_SPREAD[(entry >> U64(8 * k) & U64(255)).astype(np.int64)], begin)
-    bits = np.packbits(lanes.view(np.uint8).reshape(len(begin), 32) * np.uint16(2) > size[:, None], axis=1).view(np.uint32)[:, 0]
-    full = size >= LEAST[mark - 1]
-    slot, bits = slot[begin][full], bits[full]
-    line, slot = slot // SLOTS, slot % SLOTS
-    key = mix(bits.astype(U64) + _GOLDEN * (groups[line] * 1024 + mark * 256 + slot).astype(U64))
-    return line, key & ~U64(SLOTS - 1) | slot.astype(U64)
+    owner, key = (np.concatenate(x) for x in zip(*found, strict=True))
+    return owner, key
+
+
+def _filled(owner: np.ndarray, lanes: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of bits and sizes of the groups of lines (``owner``, ascending), those of under ``least`` features with the line's next groups, round about, until they have so many or all."""
+    n = np.bincount(owner)
+    first = (np.cumsum(n) - n)[owner]
+    n = n[owner]
+    place = np.arange(len(owner)) - first
+    own, own_size, lanes, size = lanes, size, lanes.copy(), size.copy()
+    small, step = np.flatnonzero((size < least) & (n > 1)), 1
+    while len(small):
+        other = first[small] + (place[small] + step) % n[small]
+        lanes[small] += own[other]
+        size[small] += own_size[other]
+        step += 1
+        small = small[(size[small] < least) & (n[small] > step)]
+    return lanes, size
+
+
+def _less(text: bytes, most: int) -> set[bytes]:
+    """The text and what is left of it without up to ``most`` of its bytes."""
+    every = last = {text}
+    for _ in range(most):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        every = every | last
+    return every
 
 
 def _common(most: int, same: Callable[[int], bool]) -> int:
@@ -261,35 +315,46 @@ def may_be_alike(values: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """``(key, doc_id, number, node, buckets)`` of each line; key tells rows apart. Lines repeated within a slice have null buckets."""
+    """``(key, doc_id, number, node)`` of each line; key tells rows apart. Other rows have ``(part, data)``: the buckets of the lines of a few slices, one line of those that are equal in a slice."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer()
+        names = ["key", "doc_id", "number", "node", "part", "data"]
+        types: list[pa.DataType] = []
+
+        def dealt() -> pa.RecordBatch:
+            part, data = dealer.take()
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(part), t) for t in types), part, data], names=names)
+
         for b in slices(batches, "text", 1 << 20):
+            types = [pa.int64(), b.column(1).type, pa.int64(), pa.int64()]
             x = Lines(b.column(2))
             own = x.hashes()
             _, pick = np.unique(own, return_index=True)
             pick.sort()
-            bucket, at = x.buckets(pick) if len(pick) else (np.zeros(0, U64), np.zeros(1, np.int64))
-            here = np.zeros(len(own), bool)
-            here[pick] = True
-            size = np.zeros(len(own), np.int64)
-            size[pick] = np.diff(at)
-            buckets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(bucket.view(np.int64)), mask=pa.array(~here))
+            if len(pick):
+                line, bucket = x.members(pick)
+                dealer.put(bucket, own[pick[line]].view(np.int64))
             doc = pa.array(x.doc)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), pa.array(x.number.astype(np.int64)), pa.array(own.view(np.int64)), buckets], names=["key", "doc_id", "number", "node", "buckets"])
+            none = [pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), pa.array(x.number.astype(np.int64)), pa.array(own.view(np.int64)), *none], names=names)
+            if dealer.full():
+                yield dealt()
+        if types:
+            yield dealt()
 
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key bigint, doc_id {kind}, number bigint, node bigint, buckets array<bigint>")
+    return rows.mapInArrow(run, f"key bigint, doc_id {kind}, number bigint, node bigint, part int, data binary")
 
 
 def drops(docs: DataFrame) -> DataFrame:
     """``(key, numbers)``: the lines that go, by row."""
-    seen = checkpoint(_occurrences(docs))
-    each = checkpoint(seen.groupBy("node").agg(F.min(F.struct("doc_id", "key", "number")).alias("kept"), F.count(F.lit(1)).alias("n")))
+    stored = checkpoint(_occurrences(docs))
+    seen = stored.where("part is null").select("key", "doc_id", "number", "node")
 
     def features(nodes: DataFrame) -> DataFrame:
-        wanted = nodes.join(each.select("node", "kept.key", "kept.number"), "node")
+        wanted = seen.select("node", "key", "number").join(nodes, "node", "left_semi").dropDuplicates(["node"])
         by_row = wanted.groupBy("key").agg(F.collect_list(F.struct("number", "node")).alias("want"))  # at most the lines of one document
         rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text")).join(by_row, "key").select("want", "text")
 
@@ -302,14 +367,15 @@ def drops(docs: DataFrame) -> DataFrame:
 
         return rows.mapInArrow(run, "node bigint, f binary").dropDuplicates(["node"])
 
-    labels = cluster(seen.select("node", F.explode("buckets").alias("bucket")).select("bucket", "node"), features, edit_alike, screen=may_be_alike)
-    told = each.join(labels, "node", "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "node"))
-    stays = told.groupBy("label").agg(F.min("kept").alias("stays"))
-    fate = checkpoint(told.select("node", "label").join(stays, "label").select("node", "stays"))
-    discard(each, labels)
-    gone = seen.select("key", "number", "node").join(fate, "node").where(~((F.col("key") == F.col("stays.key")) & (F.col("number") == F.col("stays.number"))))
+    labels = cluster(stored.where("part is not null").select("part", "data"), features, edit_alike, screen=may_be_alike)
+    again = seen.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    told = again.join(labels, "node", "full").select("node", F.coalesce("label", "node").alias("label"))
+    of = checkpoint(seen.join(told, "node").select("key", "doc_id", "number", "label"))
+    discard(labels, stored)
+    stays = of.groupBy("label").agg(F.min(F.struct("doc_id", "key", "number")).alias("stays"))
+    gone = of.select("key", "number", "label").join(stays, "label").where(~((F.col("key") == F.col("stays.key")) & (F.col("number") == F.col("stays.number"))))
     out = checkpoint(gone.groupBy("key").agg(F.collect_set("number").alias("numbers")))  # at most the lines of one document
-    discard(seen, fate)
+    discard(of)
     return out
 
 

@@ -100,6 +100,54 @@ def test_line_buckets_find_most_alike_pairs():
     assert len(alike) > 200 and sum(bool(own[a] & own[b]) for a, b in alike) >= 0.9 * len(alike)
 
 
+def share_a_bucket(texts):
+    x = lines.Lines(pa.array(["\n".join(texts)]))
+    x.hashes()
+    bucket, at = x.buckets(np.arange(len(texts)))
+    own = [set(bucket[a:b].tolist()) for a, b in itertools.pairwise(at.tolist())]
+    return lambda i, k: bool(own[i] & own[k])
+
+
+def test_line_buckets_of_all_groups():
+    """Edits in a fifth of the words leave few groups whole, which may be any."""
+    r, texts = random.Random(21), []
+    for _ in range(60):
+        words = ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(400)]
+        texts += [" ".join(words), " ".join(w[:-1] + "x" if r.random() < 0.2 else w for w in words)]
+    meet = share_a_bucket(texts)
+    assert all(lines.edit_alike(texts[2 * i].encode(), texts[2 * i + 1].encode()) for i in range(60))
+    assert sum(meet(2 * i, 2 * i + 1) for i in range(60)) >= 57
+
+
+def test_line_buckets_find_all_tiny_pairs():
+    r, texts = random.Random(22), set()
+    while len(texts) < 400:
+        a = [r.choice("abc d") for _ in range(r.randrange(4, 15))]
+        texts.add(" ".join("".join(a).split()) or "a")
+        a[r.randrange(len(a))] = r.choice("abc")
+        texts.add(" ".join("".join(a).split()) or "a")
+    texts = sorted(t for t in texts if len(t) <= lines.TINY)
+    meet = share_a_bucket(texts)
+    alike = [(i, k) for i, k in itertools.combinations(range(len(texts)), 2) if lines.edit_alike(texts[i].encode(), texts[k].encode())]
+    assert len(alike) > 100 and all(meet(i, k) for i, k in alike)
+
+
+def test_packed_buckets_against_plain_ones(spark):
+    r, rows, members = random.Random(23), [], []
+    for _ in range(6):
+        dealer = graph.Dealer()
+        for _ in range(2):
+            some = [(r.randrange(30) << 57 | r.randrange(9), r.randrange(-50, 50)) for _ in range(r.randrange(1, 80))]
+            dealer.put(np.array([b for b, _ in some], np.uint64), np.array([n for _, n in some], np.int64))
+            members += some
+        rows += zip(*(x.to_pylist() for x in dealer.take()), strict=True)
+    got = Counter(tuple(x) for x in graph._shared_packs(spark.createDataFrame(rows, "part int, data binary")).collect())
+    by = {}
+    for b, n in members:
+        by.setdefault(b >> 64 - graph.PART_BITS << graph.BITS | b & (1 << graph.BITS) - 1, set()).add(n)
+    assert got == Counter((b, n, min(of)) for b, of in by.items() if len(of) > 1 for n in of)
+
+
 def test_edit_similarity_quick_answers_agree():
     r = random.Random(13)
 
