@@ -50,6 +50,7 @@ TINY = 14
 #: Lines of fewer words have features of so many bytes.
 SHORT, GRAM = 12, 4
 RESYNC = 8
+APART = 4
 _FEATURE_BITS = 40
 #: The eight bits of a byte, each in a byte of its own.
 _SPREAD = np.array([sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)], dtype=U64)
@@ -101,11 +102,14 @@ class Lines:
         line, key = (np.concatenate(x) for x in zip(*found, strict=True))
         return line, key
 
+    def sizes(self, pick: np.ndarray) -> np.ndarray:
+        """Bytes of the normalised picked lines."""
+        upto = np.append(0, np.cumsum(self.words.end - self.words.start + 1))
+        return upto[self.first[pick + 1]] - upto[self.first[pick]] - 1
+
     def _tiny(self, pick: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(line, bucket)`` of the lines of up to ``TINY`` bytes: what is left of each without any bytes that an alike one may not have."""
-        w = self.words
-        upto = np.append(0, np.cumsum(w.end - w.start + 1))
-        size = upto[self.first[pick[short] + 1]] - upto[self.first[pick[short]]] - 1
+        size = self.sizes(pick[short])
         at, keys = [], []
         for i, n in zip(short[size <= TINY].tolist(), size[size <= TINY].tolist(), strict=True):
             most = min(TINY, int(n / SIMILARITY + 1e-9))
@@ -223,6 +227,11 @@ def _filled(owner: np.ndarray, lanes: np.ndarray, size: np.ndarray, least: int)
     return lanes, size
 
 
+def _size_class(size: np.ndarray) -> np.ndarray:
+    """Of bytes of lines: alike ones are ``APART`` classes from each other at most (their ratio is taken a bit larger, for rounding)."""
+    return np.minimum(APART * np.log(np.maximum(size, 1)) / np.log(1.0001 / SIMILARITY), 255).astype(np.int64)
+
+
 def _less(text: bytes, most: int) -> set[bytes]:
     """The text and what is left of it without up to ``most`` of its bytes."""
     every = last = {text}
@@ -335,7 +344,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             pick.sort()
             if len(pick):
                 line, bucket = x.members(pick)
-                dealer.put(bucket, own[pick[line]].view(np.int64))
+                dealer.put(bucket, own[pick[line]].view(np.int64), _size_class(x.sizes(pick))[line])
             doc = pa.array(x.doc)
             none = [pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), pa.array(x.number.astype(np.int64)), pa.array(own.view(np.int64)), *none], names=names)
@@ -367,7 +376,7 @@ def drops(docs: DataFrame) -> DataFrame:
 
         return rows.mapInArrow(run, "node bigint, f binary").dropDuplicates(["node"])
 
-    labels = cluster(stored.where("part is not null").select("part", "data"), features, edit_alike, screen=may_be_alike)
+    labels = cluster(stored.where("part is not null").select("part", "data"), features, edit_alike, screen=may_be_alike, apart=APART)
     again = seen.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
     told = again.join(labels, "node", "full").select("node", F.coalesce("label", "node").alias("label"))
     of = checkpoint(seen.join(told, "node").select("key", "doc_id", "number", "label"))

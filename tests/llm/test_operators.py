@@ -134,18 +134,32 @@ def test_line_buckets_find_all_tiny_pairs():
 
 def test_packed_buckets_against_plain_ones(spark):
     r, rows, members = random.Random(23), [], []
+    size = lambda n: abs(n) * 5
     for _ in range(6):
         dealer = graph.Dealer()
         for _ in range(2):
             some = [(r.randrange(30) << 57 | r.randrange(9), r.randrange(-50, 50)) for _ in range(r.randrange(1, 80))]
-            dealer.put(np.array([b for b, _ in some], np.uint64), np.array([n for _, n in some], np.int64))
+            dealer.put(np.array([b for b, _ in some], np.uint64), np.array([n for _, n in some], np.int64), np.array([size(n) for _, n in some]))
             members += some
         rows += zip(*(x.to_pylist() for x in dealer.take()), strict=True)
-    got = Counter(tuple(x) for x in graph._shared_packs(spark.createDataFrame(rows, "part int, data binary")).collect())
+    packs = spark.createDataFrame(rows, "part int, data binary")
     by = {}
     for b, n in members:
-        by.setdefault(b >> 64 - graph.PART_BITS << graph.BITS | b & (1 << graph.BITS) - 1, set()).add(n)
-    assert got == Counter((b, n, min(of)) for b, of in by.items() if len(of) > 1 for n in of)
+        by.setdefault(b, set()).add(n)
+    for apart in (255, 10):
+        want = Counter()
+        for of in by.values():
+            order = sorted(of, key=size)
+            cuts = [0, *(i for i in range(1, len(order)) if size(order[i]) - size(order[i - 1]) > apart), len(order)]
+            want.update((n, min(order[i:k])) for i, k in itertools.pairwise(cuts) if k - i > 1 for n in order[i:k])
+        got = [tuple(x) for x in graph._shared_packs(packs, apart).collect()]
+        assert Counter((n, lo) for _, n, lo in got) == want and len(set(got)) == len(got)
+    assert want != Counter((n, min(of)) for of in by.values() if len(of) > 1 for n in of)
+
+
+def test_line_size_classes():
+    n = np.arange(1, 200_000)
+    assert (lines._size_class((n / lines.SIMILARITY + 1e-9).astype(np.int64)) - lines._size_class(n) <= lines.APART).all()
 
 
 def test_edit_similarity_quick_answers_agree():
