@@ -388,6 +388,23 @@ def test_passages_screen_loses_none():
     assert min(told[True], told[False]) > 30
 
 
+def test_passages_surroundings_hold_a_word_once():
+    words = np.arange(1, 1001, dtype=np.uint32)
+    want = [{"seed": 7, "at": a, "label": None if a % 2 else 5, "rest": True, "rest_parts": 1, "main_parts": 1, "part": 0} for a in [*range(100, 160), 900]]
+    every = [{"seed": 7, "at": o["at"]} for o in want]
+    kinds = [pa.int64(), None, None, pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([[3], [want], [every], [words.tobytes()]], kinds, strict=True)], names=["node", "want", "every", "words"])
+    (rows,) = passages._surroundings(iter([batch]))
+    assert rows.num_rows == 2 and rows.nbytes < 4000
+    padded = np.concatenate([np.zeros(passages.MARGIN, np.uint32), words, np.zeros(passages.MARGIN, np.uint32)])
+    _, node, at, label, open_, around, near, far = passages._occurrences_in(pa.Table.from_batches([rows]))
+    assert at.tolist() == [o["at"] for o in want] and set(node.tolist()) == {3}
+    for k, o in enumerate(want):
+        assert open_[k] == (o["label"] is None) and label[k] == (o["label"] or 0)
+        assert (around[k] == padded[o["at"] : o["at"] + 2 * passages.MARGIN + passages.K]).all()
+        assert (far[k] + o["at"]).tolist() == [e["at"] for e in every if abs(e["at"] - o["at"]) <= passages.WORDS + passages.MAX_GAP] and set(near[k].tolist()) == {7}
+
+
 def test_passages_name_all_others(spark):
     p, q = prose(620, 60), prose(621, 60)
     docs = [(1, f"{p} {prose(622, 40)} {p} {prose(623, 100)} {q}"), (2, f"{prose(624, 30)} {p}"), (3, f"{q} {prose(625, 30)} {p}")]
