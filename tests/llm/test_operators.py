@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from stratalog.llm import decontaminate, graph, hmm, language, lines, minhash, packing, passages, topk, toxicity, warc
@@ -405,6 +406,53 @@ def test_passages_surroundings_hold_a_word_once():
         assert (far[k] + o["at"]).tolist() == [e["at"] for e in every if abs(e["at"] - o["at"]) <= passages.WORDS + passages.MAX_GAP] and set(near[k].tolist()) == {7}
 
 
+def test_passages_of_runs_of_one_word():
+    r = random.Random(11)
+    texts = []
+    for i in range(40):  # words repeated many times each, some beside prose, some with stray words in the runs
+        n = r.choice([9, 14, 20, 28, 36, 45, 70])
+        w = [x for _ in range(r.randrange(2, 6)) for x in [f"w{r.randrange(9)}"] * (n + r.choice([0, 0, 0, -1, 1, 5]))]
+        for _ in range(r.choice([0, 0, 1, 3])):
+            w[r.randrange(len(w))] = f"w{r.randrange(9)}"
+        texts.append(f"{prose(5000 + i, r.choice([0, 12]))} {' '.join(w)} {prose(5100 + i % 3, r.choice([0, 12]))}")
+    x = passages.Words(pa.array(texts), passages.ALNUM)
+    h = x.hashes()
+    flat = [np.frombuffer(b, np.uint32) for b in passages._flat(None, x, h)]
+    held = {}  # of each seed: texts and places
+    for k, span in passages.FAMILIES:
+        at = passages.seeds(x, passages.rolling(h, k), k, span)
+        for a, s in zip(at.tolist(), passages.rolling(h, k)[at].view(np.int64).tolist(), strict=True):
+            d = int(np.searchsorted(x.first, a, "right")) - 1
+            held.setdefault(s, []).append((d, a - int(x.first[d])))
+    held = {s: o for s, o in held.items() if len({d for d, _ in o}) > 1}
+    every = {d: [{"seed": s, "at": a} for s, o in held.items() for e, a in o if e == d] for d in range(len(texts))}
+    want = [[e | {"label": None, "rest": True, "rest_parts": 1, "main_parts": 0, "part": 0} for e in every[d]] for d in range(len(texts))]
+    batch = pa.RecordBatch.from_pydict({"node": list(range(len(texts))), "want": want, "every": list(every.values()), "words": [f.tobytes() for f in flat]})
+    rows = pa.Table.from_batches(list(passages._surroundings(iter([batch]))))
+    met, looked = set(), 0
+    for s in held:
+        _, node, _, _, _, around, near, far, dense = passages._occurrences_told(rows.filter(pc.equal(rows.column("seed"), s)))
+        may = passages.unlike(around, near, far, s, dense)
+        looked += len(node)
+        for k in range(len(node)):
+            at = np.flatnonzero(node != node[k])
+            met |= {(int(node[k]), d) for d in node[at[may(k, at)[0]]].tolist()}
+    linked = set()
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        pairs = sorted({(a, b) for o in held.values() for d, a in o if d == i for e, b in o if e == j})
+        found = chains_of(pairs)
+        if any(passages.parts(passages.align(flat[i], flat[j], f)) for f in found):
+            linked.add((i, j))
+    assert looked < sum(map(len, held.values())) / 3  # not each place of a run
+    assert len(linked) > 20 and linked <= met | {(j, i) for i, j in met}
+    assert len({(min(p), max(p)) for p in met}) < len(texts) ** 2 / 4  # few of the others
+
+
+def chains_of(pairs):
+    a, b = ([p[c] for p in pairs] for c in (0, 1))
+    return [[pairs[k] for k in f] for f in passages.chains(a, b) if len(f) > 1] if pairs else []
+
+
 def test_passages_name_all_others(spark):
     p, q = prose(620, 60), prose(621, 60)
     docs = [(1, f"{p} {prose(622, 40)} {p} {prose(623, 100)} {q}"), (2, f"{prose(624, 30)} {p}"), (3, f"{q} {prose(625, 30)} {p}")]
