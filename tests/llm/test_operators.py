@@ -448,6 +448,16 @@ def test_passages_of_runs_of_one_word():
     assert len({(min(p), max(p)) for p in met}) < len(texts) ** 2 / 4  # few of the others
 
 
+def test_passages_make_all_anchors():
+    r = random.Random(2)
+    for _ in range(100):
+        every = [[{"seed": r.choice([5, -3, 9]), "at": a, "label": r.choice([None, 0, 2])} for a in range(r.randrange(1, 30))] for _ in range(2)]
+        (b,) = passages._rows_of_seeds(iter([pa.RecordBatch.from_pydict({"node": [1, 2], "all": every})]))
+        x, y = (np.frombuffer(v, np.int64).reshape(-1, 5) for v in b.column(1).to_pylist())
+        want = sorted({(p["at"], q["at"]) for p in every[0] for q in every[1] if p["seed"] == q["seed"] and (p["label"] is None or p["label"] != q["label"])})
+        assert list(zip(*passages._anchors(x, y), strict=True)) == want
+
+
 def chains_of(pairs):
     a, b = ([p[c] for p in pairs] for c in (0, 1))
     return [[pairs[k] for k in f] for f in passages.chains(a, b) if len(f) > 1] if pairs else []
